@@ -35,10 +35,11 @@ def islands(df: DataFrame, by: list[str], keep: list[str] = (), strength: str |
     ``keep``: columns that are the same within a group.  With ``strength``, the run's is the largest
     among the spans that end where it does.
     """
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # Frames by value, so spans that start together always fall into one run.
+    w = Window.partitionBy(*by).orderBy("start")
+    reached = F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0))
-    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     aggs = [F.first(c, ignorenulls=True).alias(c) for c in keep] + [F.min("start").alias("start")]
     if strength is None:
         return marked.groupBy(*by, "_run").agg(*aggs, F.max("end").alias("end")).drop("_run")

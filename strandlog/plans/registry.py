@@ -301,8 +301,8 @@ def _fold(name: str, source: str, by_producer: bool = False) -> str:
   case when ttl_ns = 0 then {OPEN} else greatest(event_time_ns, coalesce(through_ns, event_time_ns)) + ttl_ns end lapse from {n}1),
 {n}3 as (select *, event_time_ns s, case when nxt is null or (ttl_ns > 0 and lapse < nxt) then lapse else nxt end e,
   case when nxt is null or (ttl_ns > 0 and lapse < nxt) then (case when lapse = {OPEN} then 0 else 1 end) when nk = 'delete' then 2 else 0 end st from {n}2 where kind = 'observe'),
-{n}4 as (select *, max(e) over (partition by {key} order by s, e rows between unbounded preceding and 1 preceding) pm from {n}3),
-{n}5 as (select *, sum(case when pm is null or s > pm then 1 else 0 end) over (partition by {key} order by s, e rows between unbounded preceding and current row) run from {n}4),
+{n}4 as (select *, max(e) over (partition by {key} order by s range between unbounded preceding and 1 preceding) pm from {n}3),
+{n}5 as (select *, sum(case when pm is null or s > pm then 1 else 0 end) over (partition by {key} order by s range between unbounded preceding and current row) run from {n}4),
 {n}6 as (select {key}, run, min(subject_kind) subject_kind, min(source) source, min(target) target, min(relation) relation, min(s) s, max(e) e from {n}5 group by {key}, run),
 {n} as (select f.*, case when f.e = {OPEN} then null else (select case max(st) when 2 then 'producer' when 1 then 'liveness_expiry' end from {n}5 g where g.subject = f.subject and g.run = f.run and g.e = f.e{' and g.producer = f.producer' if by_producer else ''}) end why from {n}6 f)"""
 
@@ -325,8 +325,8 @@ _BOTH = ", bp as (select *, 'edge' subject_kind from ep union all select *, 'ent
 
 
 def _islands(name: str, source: str, by: str) -> str:
-    return f"""{name}1 as (select *, max("end") over (partition by {by} order by "start", "end" rows between unbounded preceding and 1 preceding) pm from {source}),
-{name}2 as (select *, sum(case when pm is null or "start" > pm then 1 else 0 end) over (partition by {by} order by "start", "end" rows between unbounded preceding and current row) run from {name}1),
+    return f"""{name}1 as (select *, max("end") over (partition by {by} order by "start" range between unbounded preceding and 1 preceding) pm from {source}),
+{name}2 as (select *, sum(case when pm is null or "start" > pm then 1 else 0 end) over (partition by {by} order by "start" range between unbounded preceding and current row) run from {name}1),
 {name} as (select {by}, min("start") "start", max("end") "end" from {name}2 group by {by}, run)"""
 
 

@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 
 OPEN = 2**63 - 1
 
-RECORD = T.StructType.fromDDL(
-    "seq bigint, event_time_ns bigint, layer string, subject_kind string, source string, target string, relation string, "
-    "producer string, kind string, ttl_ns bigint, through_ns bigint, payload binary, boot string, event_time_basis int"
-)
+_TYPES = {"bigint": T.LongType(), "string": T.StringType(), "binary": T.BinaryType(), "int": T.IntegerType()}
+RECORD = T.StructType([
+    T.StructField(name, _TYPES[kind])
+    for name, kind in (x.split() for x in (
+        "seq bigint, event_time_ns bigint, layer string, subject_kind string, source string, target string, relation string, "
+        "producer string, kind string, ttl_ns bigint, through_ns bigint, payload binary, boot string, event_time_basis int"
+    ).split(", "))
+])
 
 # The catalog's entity types (id, type, layer, identifying keys in order; ? marks an optional key).
 ENTITY_TYPES = [
