@@ -41,10 +41,10 @@ except ImportError:  # slower, with the same results
 
 LEAF = 8  #: pieces up to so many bytes are merged directly
 WIDE = 48  #: windows above so many bytes are merged with a heap
-CACHE = 150_000  #: words, pieces, leaves and seams kept by a worker
+CACHE = 60_000  #: words, pieces, leaves and seams kept by a worker
 SLICE = 400_000  #: quarter of the bytes per batch that decoding hands back to Spark
 NEVER = 1 << 60  #: rank of a pair that is no token
-PART = 4 << 20  #: bytes of text encoded together
+PART = 2 << 20  #: bytes of text encoded together
 #: A space at either end, or before white space (the pattern's \\s).
 ODD_SPACES = r"^ | \z| [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FOLD = 4096  #: tokens per leaf of the decoding tree

@@ -59,3 +59,14 @@ def words_of(text):
 
 def local_path(uri: str) -> str:
     return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else os.path.abspath(uri)
+
+
+def parts(batches, size: int = 4 << 20, rows: int = 512):
+    """Arrow batches in slices of some hundred rows, so that a worker holds few texts as Python objects.
+
+    A slice is cut by its number of rows and, roughly, by the bytes of the batch.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)

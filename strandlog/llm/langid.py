@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.llm.common import parts
+
 BASE = 257  #: 256 bytes and the sign for "before the text"
 PAD = 256
-PIECE = 1 << 20  #: bytes scored at once
+PIECE = 1 << 18  #: bytes scored at once
 UND = "und"
 
 
@@ -76,7 +78,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = usable.filter(F.col("lang").isin(langs)).select("id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
@@ -107,10 +109,10 @@ class Scorer:
         self.of[PAD] = 1
         n_langs = len(model.langs)
 
-        def parts(g):
+        def split(g):
             return [self.of[(g // BASE**k) % BASE] for k in (3, 2, 1, 0)]
 
-        x, y, z, s = parts(every)
+        x, y, z, s = split(every)
         c3 = (x * a + y) * a + z
         weight = np.bincount(np.unique(c3, return_inverse=True)[1], weights=total) if len(c3) else np.zeros(0)
         kept3 = np.unique(c3)[weight >= model.min_count]
@@ -131,7 +133,7 @@ class Scorer:
         chain = (first, suffix2, suffix1, np.full(rows, rows - 1))
         self.cost = np.empty((rows * a, n_langs), dtype=np.float32)
         for k in range(n_langs):
-            x, y, z, s = parts(model.grams[k])
+            x, y, z, s = split(model.grams[k])
             n = model.counts[k].astype(np.float32)
             counts = np.zeros((rows + 1, a), dtype=np.float32)
             c3 = (x * a + y) * a + z
@@ -227,7 +229,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = scorer(model) if model.langs else None
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             lang, score = [UND] * len(texts), np.zeros(len(texts))

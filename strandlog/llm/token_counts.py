@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from strandlog.llm.bpe import tokenizer
+from strandlog.llm.common import parts as split
 
 Span = tuple[int, int]
 ROWS = 50_000  #: rows per batch handed back to Spark
@@ -89,7 +90,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         names = [id_col, "section", "start_char", "end_char", "n_tokens", "n_crossing"]
-        for batch in batches:
+        for batch in split(batches):
             ids_in = batch.column(batch.schema.get_field_index(id_col))
             texts = batch.column(batch.schema.get_field_index(text_col))
             given = batch.column(batch.schema.get_field_index(sections_col)) if sections_col else None

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlog.llm.bpe import Known
+from strandlog.llm.common import parts
 
 BUCKETS = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(word_features)
-        for batch in batches:
+        for batch in parts(batches):
             rows = [text_features(t, known).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), batch.column(1)], ["features", "y"])
 
@@ -159,7 +160,7 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", cut: float
         model = shared.value
         weights = model.weights
         known = Known(lambda w: tuple(f for f in word_features(w) if f in weights))
-        for batch in batches:
+        for batch in parts(batches):
             scores = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
                 held: set[int] = set()
