@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.llm.common import only, release
+
 try:
     import tiktoken
 except ImportError:  # slower, with the same results
@@ -247,20 +249,38 @@ class Tokenizer:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_loaded: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     """The tokenizer of a vocabulary file, loaded once by each worker process."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Tokenizer(path, pattern)
-    return _loaded[path, pattern]
+    return only((path, pattern), lambda: Tokenizer(path, pattern))
 
 
 def _kept(df: DataFrame, drop: set[str]) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name not in drop]
 
 
+def _encoded(tok: Tokenizer, batch: pa.RecordBatch, names: list[str], text_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch: its columns ``names`` and the ids of its texts."""
+    first = 0
+    for counts, ids in tok.encode_all(batch.column(batch.schema.get_field_index(text_col))):
+        part = batch.slice(first, len(counts))
+        first += len(counts)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
+        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [rows], names + [out_col])
+
+
+def _decoded(tok: Tokenizer, batch: pa.RecordBatch, names: list[str], ids_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch: its columns ``names`` and the bytes of its ids."""
+    ids, first, done, size = batch.column(batch.schema.get_field_index(ids_col)), 0, [], 0
+    for i in range(batch.num_rows):
+        done.append(tok.decode(ids[i].values.to_numpy(zero_copy_only=False).tolist() if ids[i].is_valid else []))
+        size += len(done[-1])
+        if size >= 4 * SLICE or i + 1 == batch.num_rows:
+            part = batch.slice(first, len(done))
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(done, type=pa.binary())], names + [out_col])
+            first, done, size = i + 1, [], 0
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """Adds ``out_col``, the token ids of the whole text, as an array of int.
 
@@ -275,13 +295,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         for batch in batches:
-            first = 0
-            for counts, ids in tok.encode_all(batch.column(batch.schema.get_field_index(text_col))):
-                part = batch.slice(first, len(counts))
-                first += len(counts)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [rows], names + [out_col])
+            yield from _encoded(tok, batch, names, text_col, out_col)
+        release()
 
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
     needed = list(dict.fromkeys(names + [text_col]))
@@ -296,24 +311,32 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
         for batch in batches:
-            ids, first, done, size = batch.column(batch.schema.get_field_index(ids_col)), 0, [], 0
-            for i in range(batch.num_rows):
-                done.append(tok.decode(ids[i].values.to_numpy(zero_copy_only=False).tolist() if ids[i].is_valid else []))
-                size += len(done[-1])
-                if size >= 4 * SLICE or i + 1 == batch.num_rows:
-                    part = batch.slice(first, len(done))
-                    yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(done, type=pa.binary())], names + [out_col])
-                    first, done, size = i + 1, [], 0
+            yield from _decoded(tok, batch, names, ids_col, out_col)
+        release()
 
     schema = T.StructType(keep + [T.StructField(out_col, T.BinaryType())])
     return df.select(*list(dict.fromkeys(names + [ids_col]))).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encode`` without the text, then ``decode``, by one worker: half the processes of the two in a row."""
+    keep = _kept(df, {ids_col, out_col, text_col})
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path, pattern)
+        for batch in batches:
+            for ids in _encoded(tok, batch, names, text_col, ids_col):
+                yield from _decoded(tok, ids, names + [ids_col], ids_col, out_col)
+        release()
+
+    schema = T.StructType(keep + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(out_col, T.BinaryType())])
+    return df.select(*dict.fromkeys(names + [text_col])).mapInArrow(run, schema)
+
+
 def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, number of tokens, SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
-    encoded = encode(df.select(id_col, text_col), path, pattern, text_col, "ids", keep_text=False)
-    both = decode(encoded, path, pattern, "ids", "decoded")
-    return both.select(
+    return round_trip(df.select(id_col, text_col), path, pattern, text_col).select(
         F.col(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

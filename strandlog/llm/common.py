@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 _own_dir: str | None = None
+_made: dict = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +65,25 @@ def local_path(uri: str) -> str:
     return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else os.path.abspath(uri)
 
 
+def release() -> None:
+    """Hands memory that this process has freed back to the system; idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def only(key=None, make=lambda: None):
+    """What a worker process keeps between tasks: the result of ``make`` for the last key, nothing else.
+
+    Workers outlive a stage, so a model of one stage must not stay beside that of the next.
+    """
+    if key not in _made:
+        _made.clear()
+        release()
+        _made[key] = make()
+    return _made[key]
+
+
 def parts(batches, size: int = 4 << 20, rows: int = 512):
     """Arrow batches in slices of some hundred rows, so that a worker holds few texts as Python objects.
 
@@ -70,3 +93,4 @@ def parts(batches, size: int = 4 << 20, rows: int = 512):
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
         for first in range(0, batch.num_rows, step):
             yield batch.slice(first, step)
+    release()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.common import parts
+from strandlog.llm.common import only, parts
 
 BASE = 257  #: 256 bytes and the sign for "before the text"
 PAD = 256
@@ -204,15 +204,9 @@ class Scorer:
             out[np.arange(first, last)[some]] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """The table of a model, made once by each worker process."""
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return only(model.key, lambda: Scorer(model))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

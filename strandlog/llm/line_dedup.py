@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.common import parts, staged
+from strandlog.llm.common import only, parts, staged
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PLACE = "array<struct<place:int,stop:int>>"
@@ -71,6 +71,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[D
     docs = docs.withColumn("own_hash", F.xxhash64(text_col))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in parts(batches):
             rows, hi, lo, place, stop = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -97,6 +98,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[D
     with_spots = docs.join(spots, docs[id_col].eqNullSafe(spots["sid"]) & (docs["own_hash"] == spots["shash"]), "left").drop("sid", "shash")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         names = batches_names
         for batch in parts(batches):
             ids, own, texts, all_spots = (batch.column(batch.schema.get_field_index(n)) for n in names)
@@ -141,6 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [f for f in plain.schema.fields]
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in parts(batches):
             get = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: E731, B023
             texts, lines_out, words_out, left = get(own_text).to_pylist(), [], [], []
