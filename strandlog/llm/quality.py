@@ -53,26 +53,29 @@ def repeated_words(df: DataFrame, out: str = "n_repeat_words") -> DataFrame:
     """
     w = F.col("words")
     n = F.size(w)
-    packed = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: _window(w, i).bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_LOW))))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_sorted", F.sort_array(packed))
+    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: _window(w, i).bitwiseAND(F.lit(~_LOW)))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_hashes", hashes)
+    # As many hashes as windows: no two windows are equal, and there is nothing to sort.
+    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    df = df.withColumn("_sorted", F.when(some, F.sort_array(F.transform("_hashes", lambda x, i: x.bitwiseOR(i)))).otherwise(F.array().cast("array<bigint>")))
     s = F.col("_sorted")
 
-    def high(x):
-        return F.shiftright(x, 24)
-
     def low(x):
         return x.bitwiseAND(F.lit(_LOW)).cast("int")
 
-    hits = F.filter(s, lambda x, i: F.coalesce(high(x) == high(F.get(s, i - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get(s, i + 1)), F.lit(False)))
+    def alike(x, y):  # equal but for the place; null beyond the ends, which no filter lets pass
+        return F.shiftrightunsigned(x.bitwiseXOR(y), 24) == F.lit(0).cast("long")
+
+    hits = F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1)))
     df = df.withColumn("_hits", hits)
     h = F.col("_hits")
-    clash = F.exists(F.transform(h, lambda x, i: F.coalesce((high(x) == high(F.get(h, i + 1))) & ~_same(w, low(x), low(F.get(h, i + 1))), F.lit(False))), lambda x: x)
+    clash = F.exists(F.transform(h, lambda x, i: F.coalesce(alike(x, F.get(h, i + 1)) & ~_same(w, low(x), low(F.get(h, i + 1))), F.lit(False))), lambda x: x)
     plain = F.when(n >= 3, F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.exists(F.sequence(F.lit(0), n - 3), lambda j: (i != j) & _same(w, i, j)))).otherwise(F.array().cast("array<int>"))
-    places = F.when(clash | (n > _LOW), plain).otherwise(F.sort_array(F.transform(h, low)))
+    places = F.when(clash | ((n > _LOW) & (F.size(s) > 0)), plain).otherwise(F.sort_array(F.transform(h, low)))
     df = df.withColumn("_places", places)
     p = F.col("_places")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn(out, covered).drop("_sorted", "_hits", "_places")
+    return df.withColumn(out, covered).drop("_hashes", "_sorted", "_hits", "_places")
 
 
 def terms(words, buckets: int):
