@@ -58,7 +58,7 @@ def blanks_out(text):
 def words_of(text):
     """Array of the words of a text; null and blank texts give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def local_path(uri: str) -> str:

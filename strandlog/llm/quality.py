@@ -7,8 +7,8 @@ The ratios are rounded to multiples of 2^-20 and summed as integers, so neither
 nor a lost executor can move a document over the threshold.
 
 The corpus multinomial counts every document.  The trusted one is fitted on at most ``max_trusted``
-documents labelled as good, chosen by a hash of the id (documented bound): their ids are the only
-thing broadcast besides the table of ``buckets`` ratios.
+documents labelled as good, chosen by a hash of the id (documented bound): their ids are broadcast, and
+the ``buckets`` ratios are a constant of the plan, so scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import blanks_out, staged, words_of
+from strandlog.llm.common import WORD, staged, words_of
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 17
@@ -25,35 +25,44 @@ _LOW = (1 << 24) - 1  # the place of a window in the text; the rest holds 40 bit
 
 
 def base_columns(text) -> list:
-    """n_words, word_chars, n_symbols, n_dup_lines of a text, all long; ``words`` must be a column."""
+    """n_words, word_chars, n_symbols, n_dup_lines of a text, all long; ``words`` and ``lines`` must be columns."""
     full = F.coalesce(text, F.lit(""))
-    with_word = F.filter(F.split(full, "\n"), lambda x: F.length(blanks_out(x)) > 0)
     return [
         F.size("words").cast("long").alias("n_words"),
-        F.length(blanks_out(full)).cast("long").alias("word_chars"),
-        (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(full, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     ]
 
 
-def _window(words, i):
-    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+def lines_with_words(text):
+    """The lines of a text that hold a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))
 
 
 def _same(words, p, q):
     return (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
 
 
+def hashed(words):
+    """Array of a 64-bit hash per word: pairs and windows are hashed from these, not from the words again."""
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
 def repeated_words(df: DataFrame, out: str = "n_repeat_words") -> DataFrame:
     """Adds the number of words in three-word windows that occur twice or more in ``words``.
 
-    Windows are sorted as longs of 40 hash bits and their place, so equal windows stand side by
+    ``hashes`` must be a column with the words' hashes.  Windows are sorted as longs of 40 hash bits and their place, so equal windows stand side by
     side.  Neighbours of equal hash are compared word by word; a text in which two different
     windows share a hash, or with more words than places, is counted by plain comparison instead.
     """
-    w = F.col("words")
+    w, own = F.col("words"), F.col("hashes")
     n = F.size(w)
-    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: _window(w, i).bitwiseAND(F.lit(~_LOW)))).otherwise(F.array().cast("array<bigint>"))
+
+    def window(x, i):
+        return F.xxhash64(x, F.get(own, i + 1), F.get(own, i + 2)).bitwiseAND(F.lit(~_LOW))
+
+    hashes = F.when(n >= 3, F.transform(F.slice(own, F.lit(1), n - 2), window)).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_hashes", hashes)
     # As many hashes as windows: no two windows are equal, and there is nothing to sort.
     some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
@@ -78,12 +87,28 @@ def repeated_words(df: DataFrame, out: str = "n_repeat_words") -> DataFrame:
     return df.withColumn(out, covered).drop("_hashes", "_sorted", "_hits", "_places")
 
 
-def terms(words, buckets: int):
-    """Buckets of all words and of all pairs of neighbours; ``words`` must be a plain column."""
-    n = F.size(words)
-    singles = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(singles, pairs)
+def _cell(x, buckets: int):
+    return F.pmod(x, F.lit(buckets)).cast("int")
+
+
+def _pair(hashes, x, i):
+    return F.xxhash64(x, F.get(hashes, i + 1))
+
+
+def terms(hashes, buckets: int):
+    """Buckets of all words and of all pairs of neighbours, the last word paired with the end of the text.
+
+    ``hashes`` must be a plain column with the words' hashes.
+    """
+    return F.concat(F.transform(hashes, lambda x: _cell(x, buckets)), F.transform(hashes, lambda x, i: _cell(_pair(hashes, x, i), buckets)))
+
+
+def _looked_up(table: DataFrame, buckets: int):
+    """The ratios as one constant array, read by bucket: ``buckets`` numbers, whatever the input."""
+    every = table.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0)).alias("ratio"))))
+    joined = every.join(table, "bucket", "left").agg(F.array_join(F.transform(in_order, lambda x: x["ratio"].cast("string")), ",").alias("all"))
+    return F.split(F.lit(joined.first()["all"]), ",").cast("array<bigint>")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, alpha: float = 0.5, max_trusted: int = 20_000) -> DataFrame:
@@ -93,8 +118,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """
     chosen = trusted.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_trusted).withColumn("good", F.lit(1))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
-    own = own.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), words_of(F.col("text")).alias("words"))
-    flat = own.select("good", F.explode(terms(F.col("words"), buckets)).alias("bucket"))
+    own = own.select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), hashed(words_of(F.col("text"))).alias("hashes"))
+    flat = own.select("good", F.explode(terms(F.col("hashes"), buckets)).alias("bucket"))
     counts = staged(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")), "term-counts")
     n, good = (float(x or 0) for x in counts.agg(F.sum("n"), F.sum("good")).first())
     log = F.log((F.col("good") + alpha) / F.lit(good + alpha * buckets)) - F.log((F.col("n") + alpha) / F.lit(n + alpha * buckets))
@@ -107,19 +132,16 @@ def judge(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     A null or blank text has no words: its counts are 0, it fails the base rules and its llr is 0.
     Repeated rows come back as often as they came in; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
-    own = own.select("id", "words", F.xxhash64("text").alias("own_hash"), *base_columns(F.col("text")))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"words": words_of(F.col("text")), "lines": lines_with_words(F.col("text"))})
+    own = own.select("id", "words", hashed(F.col("words")).alias("hashes"), *base_columns(F.col("text")))
     own = repeated_words(own)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    flat = own.select("id", "own_hash", *base, F.posexplode_outer(terms(F.col("words"), buckets)).alias("place", "bucket"))
-    # At most `buckets` rows of two numbers: bounded whatever the input.
-    scored = flat.join(F.broadcast(table), "bucket", "left")
-    # Equal rows meet in one group; each of them has exactly one place 0 (or one null).
-    grouped = scored.groupBy("id", "own_hash", *base).agg(F.sum(F.coalesce("ratio", F.lit(0))).alias("sum"), F.count("bucket").alias("n"), F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0)).alias("times"))
+    h, all_ratios = F.col("hashes"), _looked_up(table, buckets)
+    both = F.transform(h, lambda x, i: F.get(all_ratios, _cell(x, buckets)) + F.get(all_ratios, _cell(_pair(h, x, i), buckets)))
+    total = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    llr = F.when(F.col("n") > 0, F.col("sum") / F.col("n") / SCALE).otherwise(0.0)
+    llr = F.when(F.col("n_words") > 0, total / (2 * F.col("n_words")) / SCALE).otherwise(0.0)
     return (
-        grouped.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-        .select(F.col("id").alias(id_col), *base, failed.alias("base_failed"), llr.alias("llr"))
+        own.select(F.col("id").alias(id_col), *base, failed.alias("base_failed"), llr.alias("llr"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     )
