@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlog import schema
 from strandlog.functions.identity import NAMESPACE, fingerprint
 from strandlog.operators import fold, log as reads, ranges, spans
-from strandlog.plans import questions as q, subgraph
+from strandlog.plans import questions as q, scoring, subgraph
 from strandlog.schema import OPEN
 from strandlog.sources import activity, fixtures
 from strandlog.streaming import coalescer
@@ -219,6 +219,17 @@ def q17_recency(s, d):
     return q.recency(fixtures.placements(s, d), TO - 1).select("subject", "producer", "last_seen", "silent_ns", F.round("confidence", 9).alias("confidence"))
 
 
+def _placed(s, d, t):
+    """(case, entity): the pods on each node at an instant."""
+    edges = fixtures.placements(s, d).filter("relation = 'scheduled_on'")
+    return reads.alive_subjects(edges, t).select(F.col("target").alias("case"), F.col("source").alias("entity")).distinct()
+
+
+def q24_case_scores(s, d):
+    """The pods on each node five days before, taken as a prediction of those on it now."""
+    return scoring.case_scores(_placed(s, d, T - 5 * 86400 * q.SECOND).withColumn("rank", F.lit(1)), _placed(s, d, T)).drop("precision", "recall", "f1")
+
+
 def _subgraph(s, d):
     pieces = ranges.edge_pieces(fixtures.placements(s, d), FROM, TO).filter("relation = 'scheduled_on'")
     numbers = subgraph.dictionary(pieces)
@@ -437,6 +448,9 @@ n as (select *, ntile(8) over (partition by c order by seq) f from k), r as (sel
 w as (select *, min((reach <= {820454400000000000 - 2592000000000000})::int) over (partition by c order by f) ok, max(reach) over (partition by c order by f) rm, min(fo) over (partition by c order by f rows between 1 following and unbounded following) lf from r),
 x as (select *, max(case when ok = 1 and (lf is null or rm <= lf) then f end) over (partition by c) la from w)
 select c "class", f file, coalesce(f <= la, false) and c not in ('l0', 'hosts') retire from x""",
+    "q24_case_scores": f"with {_A}, " + _latest("l1", "(select * from a where relation = 'scheduled_on')", T - 5 * 86400 * q.SECOND) + ", " + _latest("l2", "(select * from a where relation = 'scheduled_on')", T) + f""", pr as (select distinct target c, source e from l1 where {_live(T - 5 * 86400 * q.SECOND)}), tr as (select distinct target c, source e from l2 where {_live(T)}),
+bo as (select coalesce(pr.c, tr.c) c, pr.e said, tr.e is_true, case when pr.e is not null then row_number() over (partition by coalesce(pr.c, tr.c) order by pr.e nulls last) end place from pr full join tr on pr.c = tr.c and pr.e = tr.e)
+select c "case", count(said) n, count(case when said is not null and is_true is not null then 1 end) hits, count(is_true) truth, count(case when place <= 1 and is_true is not null then 1 end) hits_at_1, count(case when place <= 3 and is_true is not null then 1 end) hits_at_3, count(case when place <= 5 and is_true is not null then 1 end) hits_at_5 from bo group by 1""",
     "sc19_list_entities": f"with {_A} select distinct source entity from a where subject_kind = 'entity' and source like 'k8s.pod:%' and source > 'k8s.pod:3' order by 1 limit 50",
     "rt1_retain": f"with {_A}, " + _latest("le", "(select * from a where layer = 'L2')", FROM - 1) + f" select seq, layer, octet_length(encode(payload)) payload_bytes from a where layer <> 'L2' or event_time_ns >= {FROM} union all select seq, layer, null from le where {_live(FROM)}",
     "sm1_numbered": "select event_id, 1000 + row_number() over (order by ts, event_id) seq from events",
