@@ -1,13 +1,14 @@
-"""Line deduplication by content-defined chunks of lines (operator 4).
+"""Line deduplication by overlapping chunks of lines (operator 4).
 
-A text is cut at its line feeds.  A rolling hash over the hashes of the last ``window`` lines ends a
-chunk wherever it is divisible by ``divisor``; a line of ``long_words`` words or more is a chunk of its
-own.  Boundaries depend on nearby lines only, so a passage is cut alike wherever it stands, some
-lines at its edges apart.  Chunks of two lines or more, and those of one long line, whose bytes
-occur anywhere before (by document id, then place) are removed; the first occurrence stays.
+A text is cut at its line feeds.  Every two neighbouring lines (lines without words between them
+included) are a chunk, and a line of ``long_words`` words or more is one of its own too.  Chunks
+overlap and depend on their own lines only, so a passage has the same chunks wherever it stands, and
+they cover it to its edges.  A chunk whose bytes occur anywhere before (by document id, then place) is
+removed; the first occurrence stays.  So of two lines or more that stand together elsewhere before,
+none is left, however few they are, and the first place of every line stays.
 
 Equal chunks are found by a 128-bit hash; a chunk is removed only after its bytes have been
-compared with those of the first occurrence.  Chunks of one short line are never removed.
+compared with those of the first occurrence.  One short line by itself is never removed.
 
 Only hashes are shuffled for all chunks; texts are shuffled once by document, and the bytes of
 chunks only where their hash repeats.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,36 +26,21 @@ from pyspark.sql import types as T
 
 from strandlog.llm.common import only, parts, staged
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-PLACE = "array<struct<place:int,stop:int>>"
 
-
-def boundaries(lines: list[str], window: int, divisor: int, long_words: int) -> list[int]:
-    """The ends of the chunks of a text, the last of them the number of its lines."""
-    n = len(lines)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), dtype=np.uint64, count=n)
-    rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(window):  # sum of h[i - k] * multiplier ** k
-        rolled[k:] = rolled[k:] + h[: n - k] * MULTIPLIER**np.uint64(k)
-    ends = (rolled >> np.uint64(33)) % np.uint64(divisor) == 0
-    long = np.fromiter((len(x) >= 2 * long_words - 1 and len(x.split()) >= long_words for x in lines), dtype=bool, count=n)
-    ends |= long
-    ends[:-1] |= long[1:]
-    ends[-1] = True
-    return (np.flatnonzero(ends) + 1).tolist()
-
-
-def chunks(text: str | None, window: int = 2, divisor: int = 4, long_words: int = 50) -> list[tuple[int, int, str]]:
+def chunks(text: str | None, long_words: int = 50) -> list[tuple[int, int, str]]:
     """(first line, line after the last, text) of the chunks that may be removed."""
     if not text:
         return []
     lines = text.split("\n")
-    out, start = [], 0
-    for end in boundaries(lines, window, divisor, long_words):
-        own = "\n".join(lines[start:end])
-        if own.strip() and (end - start >= 2 or len(own.split()) >= long_words):
-            out.append((start, end, own))
-        start = end
+    out, last = [], None
+    for k, line in enumerate(lines):
+        if not line or line.isspace():
+            continue
+        if last is not None:
+            out.append((last, k + 1, "\n".join(lines[last : k + 1])))
+        if len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words:
+            out.append((k, k + 1, line))
+        last = k
     return out
 
 
@@ -66,7 +51,7 @@ def _signed(x: int) -> int:
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[DataFrame, DataFrame]:
     """The documents with ``own_hash`` and ``spots`` (their repeated chunks), and the verified removals.
 
-    A removal is (rid, rhash, removed): the places of a document's chunks that occur before.
+    A removal is (rid, rhash, removed): the (place, stop) of a document's chunks that occur before.
     """
     docs = docs.withColumn("own_hash", F.xxhash64(text_col))
 
@@ -108,20 +93,20 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[D
                     lines = texts[i].as_py().split("\n")
                     for s in found:
                         rows.append(i)
-                        values.append((s["hi"], s["lo"], s["place"], s["is_first"], "\n".join(lines[s["place"] : s["stop"]]).encode()))
+                        values.append((s["hi"], s["lo"], s["place"], s["stop"], s["is_first"], "\n".join(lines[s["place"] : s["stop"]]).encode()))
             at = pa.array(rows, pa.int64())
-            columns = list(zip(*values)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(at), own.take(at)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["id", "own_hash", "hi", "lo", "place", "is_first", "bytes"])
+            columns = list(zip(*values)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([ids.take(at), own.take(at)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["id", "own_hash", "hi", "lo", "place", "stop", "is_first", "bytes"])
 
     batches_names = [id_col, "own_hash", text_col, "spots"]
     # No column is pruned before this map, so both uses of with_spots share one shuffle of the texts.
     cut = with_spots.filter("spots is not null").mapInArrow(
-        pieces, T.StructType([f("id", id_type), f("own_hash", T.LongType()), f("hi", T.LongType()), f("lo", T.LongType()), f("place", T.IntegerType()), f("is_first", T.BooleanType()), f("bytes", T.BinaryType())])
+        pieces, T.StructType([f("id", id_type), f("own_hash", T.LongType()), f("hi", T.LongType()), f("lo", T.LongType()), f("place", T.IntegerType()), f("stop", T.IntegerType()), f("is_first", T.BooleanType()), f("bytes", T.BinaryType())])
     )
     cut = staged(cut, "repeated-chunks")
     firsts = cut.filter("is_first").select("hi", "lo", F.col("bytes").alias("first_bytes")).groupBy("hi", "lo").agg(F.min("first_bytes").alias("first_bytes"))
     same = cut.filter("not is_first").join(firsts, ["hi", "lo"]).filter(F.col("bytes") == F.col("first_bytes"))
-    removals = same.groupBy("id", "own_hash").agg(F.collect_set("place").alias("removed")).select(F.col("id").alias("rid"), F.col("own_hash").alias("rhash"), "removed")
+    removals = same.groupBy("id", "own_hash").agg(F.collect_set(F.struct("place", "stop")).alias("removed")).select(F.col("id").alias("rid"), F.col("own_hash").alias("rhash"), "removed")
     return with_spots, removals
 
 
@@ -150,11 +135,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, (spots, removed) in enumerate(zip(get("spots").to_pylist(), get("removed").to_pylist())):
                 gone = words = 0
                 if removed:
-                    drop, lines = set(removed), texts[i].split("\n")
+                    drop, lines = {(x["place"], x["stop"]) for x in removed}, texts[i].split("\n")
+                    first = {(s["hi"], s["lo"]): s["stop"] for s in spots if s["is_first"]}
                     marks = [False] * len(lines)
                     for s in spots:
-                        if s["place"] in drop:
-                            marks[s["place"] : s["stop"]] = [True] * (s["stop"] - s["place"])
+                        if (s["place"], s["stop"]) in drop:
+                            # One line over and over: what the first occurrence holds of this one stays.
+                            start = max(s["place"], first.get((s["hi"], s["lo"]), 0))
+                            marks[start : s["stop"]] = [True] * (s["stop"] - start)
+                    if all(m or not x or x.isspace() for x, m in zip(lines, marks)):
+                        marks = [True] * len(lines)
                     gone = sum(marks)
                     words = sum(len(x.split()) for x, m in zip(lines, marks) if m)
                     texts[i] = "\n".join(x for x, m in zip(lines, marks) if not m)

@@ -117,6 +117,25 @@ def test_line_dedup_shift_resistant_and_long_lines():
     assert all(long in {own for _, _, own in line_dedup.chunks(t)} for t in (f"a\n{long}\nb c", long, f"{long}\nx"))
 
 
+def test_line_dedup_removes_passages_whole(spark):
+    rnd = random.Random(4)
+    rows, want = [], {}
+    own = lambda: " ".join(f"w{rnd.random()}" for _ in range(8))
+    for n in (2, 3, 5, 8, 10, 20):
+        for case in range(6):
+            passage = [own() for _ in range(n)]
+            if case % 2:
+                passage[1:1] = ["", " "]
+            for copy in range(3):
+                i, before, after = len(rows), [own() for _ in range(copy)], [own(), passage[0]]
+                rows.append((i, "\n".join(before + passage + after)))
+                want[i] = "\n".join(before + (passage if copy == 0 else []) + after)
+    same = [(1000, "la\nla\nla\nla\nend"), (1001, "so\nla\nla\nla\n"), (1002, "\nla\nla\n\n"), (1003, "end"), (1004, "end\n\nnew")]
+    want |= {1000: "la\nla\nend", 1001: "so\n", 1002: "", 1003: "end", 1004: "end\n\nnew"}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows + same, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_line_dedup_on_odd_rows(spark, odd_docs):
     out = line_dedup.dedup_lines(odd_docs, report=True)
     assert out.columns == odd_docs.columns + ["lines_removed", "words_removed", "words_left"]
