@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlog.llm import mixing, near_dup, topk, warc
@@ -132,6 +133,36 @@ def test_near_duplicates_find_planted_groups(spark, odd_docs):
     assert near_dup.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_beside_an_unlike_head(spark):
+    rnd = random.Random(11)
+    passage, rows = [f"shared{k}" for k in range(70)], []
+    for g in range(30):  # unlike texts that share a passage, each with a near copy
+        words = [f"w{rnd.random()}" for _ in range(15)] + passage + [f"w{rnd.random()}" for _ in range(rnd.choice([15, 16, 60]))]
+        rows += [(len(rows), words), (len(rows) + 1, words[:3] + ["new"] + words[3:])]
+    rnd.shuffle(rows)
+    hashed = {i: np.array([near_dup.word_hash(w) for w in words], np.uint64) for i, words in rows}
+    key = {i: near_dup.sketch(h, 1, 1)[0] for i, h in hashed.items()}
+    out = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(words)) for i, words in rows], "doc_id long, text string"), sketches=1, take=1)
+    got = {r.doc_id: r.class_id for r in out.collect()}
+    assert Counter(key.values()).most_common(1)[0][1] > 20
+    assert got == {i: i - 1 if i % 2 and key[i] == key[i - 1] else i for i in got}
+
+
+def test_bags_never_part_what_aligns(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{rnd.randint(0, 9 if i % 2 else 900)}" for _ in range(rnd.choice([5, 60, 3000]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rnd, words, rnd.randint(0, len(words) // 3))))]
+    made = {r.id: r for r in near_dup.sketched(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 1, 1).collect()}
+    x, y = (pa.table({"node": [r.id for r in t], "n_words": [r.n_words for r in t], "bag": [bytes(r.bag) for r in t]}) for t in ([r for i, r in made.items() if i % 2 == k and r.bag] for k in (0, 1)))
+    a, b = near_dup.possible(x, y, 0.8)
+    left = set(zip(x["node"].to_numpy()[a].tolist(), y["node"].to_numpy()[b].tolist()))
+    h = {i: np.array([near_dup.word_hash(w) for w in t.split()], np.uint64) for i, t in rows}
+    good = {(i, i + 1) for i in range(0, 600, 2) if made[i + 1].bag and near_dup.edit_within(h[i], h[i + 1], int(max(len(h[i]), len(h[i + 1])) * 0.2 + 1e-9))}
+    assert good <= left and good and len(left) < 300 * 299 / 2
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in near_dup.components(links).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
