@@ -7,8 +7,8 @@ shared folder: first under a name of its own attempt, then moved into place, so
 replaces its file by an equal one.
 
 Reader: files are cut into byte ranges.  A task seeks to its range and looks for the gzip magic;
-a candidate counts as a member only if its first bytes inflate to a WARC version line and complete
-record headers, so a magic inside compressed data is passed over.  A task owns the records that
+a candidate counts as a member only if it inflates to a WARC version line and complete record
+headers of any length, so a magic inside compressed data is passed over.  A task owns the records that
 start inside its range and reads the last of them beyond it; the place after an owned member is the
 next candidate, so nothing is read twice or missed.
 """
@@ -30,7 +30,7 @@ from strandlog.llm.common import shared_dir
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20  #: bytes of an archive that one task owns
 READ = 1 << 20
-HEADERS = 1 << 16  #: a record's headers end within so many bytes
+STEP = 1 << 16  #: bytes inflated at once in search of the end of a record's headers
 WRITTEN = "path string, size long"
 
 
@@ -104,14 +104,6 @@ def _headers(data: bytes) -> dict[str, str] | None:
         return None
 
 
-def _starts(data: bytes) -> bool:
-    """Whether a member with valid record headers starts here."""
-    try:
-        return _headers(zlib.decompressobj(31).decompress(data, HEADERS)) is not None
-    except zlib.error:
-        return False
-
-
 def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records that start in [start, end) of an open archive."""
     at, data, base = start, b"", start  # data: the bytes from base on
@@ -122,6 +114,27 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], b
         data += new
         return bool(new)
 
+    def starts() -> bool:
+        """Whether a member with valid record headers, however long, starts at the front of the data."""
+        unpack, head, used, rest = zlib.decompressobj(31), bytearray(), 0, b""
+        try:
+            while not unpack.eof:
+                if not rest:
+                    if used == len(data) and not more():
+                        return False
+                    rest = data[used : used + STEP]
+                    used += len(rest)
+                seen = max(0, len(head) - 3)
+                head += unpack.decompress(rest, STEP)
+                rest = unpack.unconsumed_tail
+                if not head.startswith(b"WARC/1."[: len(head)]):
+                    return False
+                if head.find(b"\r\n\r\n", seen) >= 0:
+                    return _headers(bytes(head)) is not None
+        except zlib.error:
+            pass
+        return False
+
     while at < end:
         data, base = data[at - base :] if at - base <= len(data) else b"", at
         found = data.find(MAGIC)
@@ -135,9 +148,7 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], b
             return
         at = base + found
         data, base = data[found:], at
-        while len(data) < HEADERS and more():
-            pass
-        if not _starts(data):
+        if not starts():
             at += 1
             continue
         unpack, parts, used = zlib.decompressobj(31), [], 0

@@ -200,3 +200,13 @@ def test_warc_ranges_own_each_record_once(width):
     data = b"".join(warc.member("response", k, "u", b, hashlib.sha256(b).hexdigest(), len(b), None) for k, b in enumerate(bodies))
     found = [body for start in range(0, len(data), width) for _, body in warc.records_in(File(data), start, min(len(data), start + width))]
     assert found == bodies
+
+
+@pytest.mark.parametrize("width", [1000, 70_000, 1 << 23])
+def test_warc_headers_of_any_length(width):
+    rnd = random.Random(width)
+    urls = ["u", "a" * 65_400, "b" * 65_600, "c" * 3_000_000, rnd.randbytes(1_000_000).hex(), "v"]
+    made = [warc.member("revisit" if k == 2 else "response", k, u, b"body" * k, "0", 4 * k, 1 if k == 2 else None) for k, u in enumerate(urls)]
+    data = b"".join(made)
+    found = [(head["warc-target-uri"], body) for start in range(0, len(data), width) for head, body in warc.records_in(File(data), start, min(len(data), start + width))]
+    assert found == [(u, b"" if k == 2 else b"body" * k) for k, u in enumerate(urls)]
