@@ -12,8 +12,8 @@ Because the counts are frozen, the code length of a byte depends on the three by
 All of them are computed once per worker into a table (context row x symbol x language), and
 a text is scored with a few array look-ups per byte.  Bytes never seen in training share one class.
 
-The model is fitted on at most ``per_lang`` documents of each of at most ``max_langs`` languages
-(those with the most rows), chosen by a hash of the id; scoring covers every byte of every text.
+The model is fitted on at most ``per_lang`` documents of each language, chosen by a hash of the
+id; more than ``max_langs`` languages are an error, none is left out.  Scoring covers every byte of every text.
 """
 
 from __future__ import annotations
@@ -70,12 +70,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Counts from the rows that are not held out and have a text and a language."""
     own = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    langs = sorted(r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    langs = sorted(r[0] for r in usable.select("lang").distinct().limit(max_langs + 1).collect())
+    if len(langs) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} languages: documents of those left out would all be given a wrong one")
     if not langs:
         return Model([], [], [], min_count)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # At most per_lang * max_langs ids: small enough to broadcast at any size of the input.
-    chosen = usable.filter(F.col("lang").isin(langs)).select("id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id").distinct()
+    chosen = usable.select("id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("id").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -86,7 +88,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 g, n = _grams(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    seen = usable.filter(F.col("lang").isin(langs)).join(F.broadcast(chosen), "id").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    seen = usable.join(F.broadcast(chosen), "id").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     rows = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     grams, counts = [], []
     for lang in langs:

@@ -191,6 +191,13 @@ def test_language_is_proper_and_learns(spark, odd_docs):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_leaves_none_out(spark):
+    docs = spark.createDataFrame([(i, "abc", "xyz"[i % 3]) for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.train(docs, max_langs=3).langs == ["x", "y", "z"]
+    with pytest.raises(ValueError, match="max_langs"):
+        langid.train(docs, max_langs=2)
+
+
 def test_language_long_text_in_pieces(monkeypatch):
     g, n = langid._grams(["abc abd abe"] * 3)
     table = langid.Scorer(langid.Model(["x"], [g], [n]))
