@@ -207,7 +207,7 @@ def q15_blast_radius(s, d):
 
 def q15_blast_radius_services(s, d):
     log = fixtures.services(s, d)
-    return q.blast_radius(log, log.filter("source like 'service:%'").agg(F.min("source").alias("entity")), 820454400000000000, 823046400000000000, max_depth=3)
+    return q.blast_radius(log, log.filter("source like 'service:%'").agg(F.min("source").alias("entity")), 820454400000000000, 823046400000000000, max_frontier=None)
 
 
 def q16_around(s, d):

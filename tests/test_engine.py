@@ -159,3 +159,10 @@ def test_subgraph_codec_and_seek(spark):
     for bad in (data[:-1], data[:20] + data[21:], b"x" + data):
         with pytest.raises((ValueError, IndexError)):
             subgraph.decode(bad)
+
+
+def test_service_blast_radius_goes_to_its_end(spark):
+    from strandlog.plans.registry import QUERIES
+
+    rows = QUERIES["q15_blast_radius_services"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.depth for r in rows} == {1, 2, 3, 4}  # nothing new is reached at depths 5 and 6
