@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import tempfile
 import uuid
 
@@ -13,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The six characters that part words.
-BLANKS = " \t\n\x0b\x0c\r"
 
 _own_dir: str | None = None
 _made: dict = {}
@@ -28,31 +25,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary folder is made once.
+    Only where the session names none and runs in one process (tests) a temporary folder is made once;
+    on a cluster its files would be on one machine, so there that is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="strandlog-")
     return _own_dir
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes between stages."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and what
     is read later is fixed even if ``df`` numbered its rows by their place in a partition.
+    The tables stay until ``drop_staged``, as later reads need them.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blanks_out(text):
-    """The text without the six blank characters: what is left are the characters of its words."""
-    return F.translate(text, BLANKS, "")
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; results not yet read are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, share: int = 10_000, least: int = 1000) -> DataFrame:
+    """Inner join of a staged table with one that has one row per key, in which some keys may be very common.
+
+    Keys with more than 1 / ``share`` of all rows of ``left`` (and ``least``) are at most ``share``, so their
+    rows of ``right`` are broadcast; their many rows of ``left`` stay where they are.  All others meet by hash.
+    """
+    limit = max(least, left.count() // share)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(key)
+    if not hot.limit(1).count():
+        return left.join(right, key)
+    hot = F.broadcast(staged(hot, "hot"))
+    few = F.broadcast(staged(right.join(hot, key, "left_semi"), "hot"))
+    return left.join(few, key).unionByName(left.join(hot, key, "left_anti").join(right, key))
 
 
 def words_of(text):
@@ -61,10 +83,6 @@ def words_of(text):
     return F.array_remove(parts, "")
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else os.path.abspath(uri)
-
-
 def release() -> None:
     """Hands memory that this process has freed back to the system; idle workers keep it otherwise."""
     pa.default_memory_pool().release_unused()

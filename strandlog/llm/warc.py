@@ -10,7 +10,8 @@ Reader: files are cut into byte ranges.  A task seeks to its range and looks for
 a candidate counts as a member only if it inflates to a WARC version line and complete record
 headers of any length, so a magic inside compressed data is passed over.  A task owns the records that
 start inside its range and reads the last of them beyond it; the place after an owned member is the
-next candidate, so nothing is read twice or missed.
+next candidate, so nothing is read twice or missed.  A member that is cut off, and bytes between two
+members of a range, are errors: nothing is passed over silently.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import shared_dir
+from strandlog.llm.common import own_folder
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20  #: bytes of an archive that one task owns
@@ -106,7 +107,7 @@ def _headers(data: bytes) -> dict[str, str] | None:
 
 def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records that start in [start, end) of an open archive."""
-    at, data, base = start, b"", start  # data: the bytes from base on
+    at, data, base, owned = start, b"", start, False  # data: the bytes from base on
 
     def more() -> bool:
         nonlocal data
@@ -137,18 +138,23 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], b
 
     while at < end:
         data, base = data[at - base :] if at - base <= len(data) else b"", at
+        after = at
         found = data.find(MAGIC)
         while found < 0 and base + len(data) - 2 < end:
             keep = max(0, len(data) - 2)
             data, base = data[keep:], base + keep
             if not more():
-                return
+                break
             found = data.find(MAGIC)
+        if owned and after < handle.size() and (found < 0 or base + found != after):
+            raise ValueError(f"no record starts at byte {after}, after the one before")
         if found < 0 or base + found >= end:
             return
         at = base + found
         data, base = data[found:], at
         if not starts():
+            if owned:
+                raise ValueError(f"no record starts at byte {after}, after the one before")
             at += 1
             continue
         unpack, parts, used = zlib.decompressobj(31), [], 0
@@ -158,12 +164,14 @@ def records_in(handle, start: int, end: int) -> Iterator[tuple[dict[str, str], b
             parts.append(unpack.decompress(data[used:]))
             used = len(data) - len(unpack.unused_data)
         if not unpack.eof:
-            return  # cut off
+            raise ValueError(f"the record at byte {at} is cut off")
         content = b"".join(parts)
         head = _headers(content)
         body = content.find(b"\r\n\r\n") + 4
+        if len(content) < body + int(head["content-length"]):
+            raise ValueError(f"the record at byte {at} is shorter than its headers say")
         yield head, content[body : body + int(head["content-length"])]
-        at = base + used
+        at, owned = base + used, True
 
 
 def read(spark: SparkSession, files: DataFrame, folder: str, width: int = RANGE) -> DataFrame:
@@ -186,6 +194,8 @@ def read(spark: SparkSession, files: DataFrame, folder: str, width: int = RANGE)
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with store.open_input_file(path) as handle:
+                    if handle.size() != size:
+                        raise ValueError(f"{path} has {handle.size()} bytes, not {size}")
                     for head, payload in records_in(handle, start, min(size, start + width)):
                         response = head["warc-type"] == "response"
                         digest = hashlib.sha256(payload).hexdigest() if response else head["warc-payload-digest"].removeprefix("sha256:")
@@ -207,6 +217,6 @@ def archive(pages: DataFrame, **columns) -> DataFrame:
     """Writes one record per page into a new folder of the shared folder and reads the archives back."""
     from strandlog.llm.common import staged
 
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = f"{own_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     files = staged(write(plan(pages, **columns), folder), "warc-files")
     return read(pages.sparkSession, files, folder)
