@@ -46,13 +46,27 @@ def spans_of(tok, ids: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return char[starts], char[ends - 1] + 1
 
 
+def disjoint(given: list[dict | None] | None) -> list[Span]:
+    """Given sections as spans that do not overlap, each in its place of the list.
+
+    A section that is null or has a null end, or that ends before it starts, is empty; where two overlap,
+    the one that starts later (of equal starts, the later in the list) holds what both would.
+    """
+    spans = [(0, 0) if x is None or x["start"] is None or x["end"] is None else (max(0, x["start"]), max(0, x["start"], x["end"])) for x in given or []]
+    order = [k for k in sorted(range(len(spans)), key=lambda k: (spans[k][0], k)) if spans[k][0] < spans[k][1]]
+    for k, after in zip(order, order[1:]):
+        spans[k] = spans[k][0], min(spans[k][1], spans[after][0])
+    return spans
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: list[Span], rule: str) -> tuple[np.ndarray, np.ndarray]:
     """For each token the section it goes to (-1: none) and whether it crosses a boundary.
 
-    ``sections`` are sorted and do not overlap.
+    ``sections`` do not overlap; their order is free.
     """
-    s = np.array([a for a, _ in sections], dtype=np.int64)
-    e = np.array([b for _, b in sections], dtype=np.int64)
+    place = np.array([k for k in sorted(range(len(sections)), key=lambda k: sections[k]) if sections[k][0] < sections[k][1]], dtype=np.int64)
+    s = np.array([sections[k][0] for k in place], dtype=np.int64)
+    e = np.array([sections[k][1] for k in place], dtype=np.int64)
     if not len(s):
         return np.full(len(starts), -1), np.zeros(len(starts), dtype=bool)
 
@@ -72,7 +86,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: list[Span], rule:
             to[i] = -best[1] if best[0] > 0 else -1
     elif rule != "first":
         raise ValueError(f"unknown rule {rule!r}")
-    return to, crosses
+    return np.where(to >= 0, place[np.maximum(to, 0)], -1), crosses
 
 
 def count_tokens(
@@ -81,15 +95,20 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document and section: id, section, start_char, end_char, n_tokens, n_crossing.
 
-    Sections come from ``sections_col`` (array<struct<start,end>> over characters, sorted and
-    disjoint) or are computed by ``sections``.  ``n_crossing``: how many of the section's tokens
-    cross its boundary.  A null or empty text has one row, section -1 with 0 tokens; repeated rows
-    and equal ids are counted row by row; other columns are ignored.
+    Sections come from ``sections_col`` (array<struct<start,end>> over characters, made ``disjoint``;
+    one row each, also for those without a token) or are computed by ``sections``.  ``n_crossing``:
+    how many of the section's tokens cross its boundary.  A null or empty text without sections has one row,
+    section -1 with 0 tokens; repeated rows and equal ids are counted row by row; other columns are
+    ignored.  An id column named like an output is an error.
     """
 
+    made = ["section", "start_char", "end_char", "n_tokens", "n_crossing"]
+    if id_col in made:
+        raise ValueError(f"{id_col!r} is the name of an output; rename the id column")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
-        names = [id_col, "section", "start_char", "end_char", "n_tokens", "n_crossing"]
+        names = [id_col, *made]
         for batch in split(batches):
             ids_in = batch.column(batch.schema.get_field_index(id_col))
             texts = batch.column(batch.schema.get_field_index(text_col))
@@ -104,7 +123,7 @@ def count_tokens(
                 text = texts[i].as_py() or ""
                 data = text.encode()
                 tokens = tok.encode(text)
-                own = [(x["start"], x["end"]) for x in given[i].as_py() or []] if given is not None else sections(text)
+                own = disjoint(given[i].as_py()) if given is not None else sections(text)
                 starts, ends = spans_of(tok, tokens, data) if tokens else (np.zeros(0, np.int64),) * 2
                 to, crosses = attribute(starts, ends, own, rule)
                 n = np.bincount(to + 1, minlength=len(own) + 1)
@@ -123,6 +142,6 @@ def count_tokens(
                 yield out()
 
     f = T.StructField
-    schema = T.StructType([f(id_col, df.schema[id_col].dataType)] + [f(n, T.LongType()) for n in ("section", "start_char", "end_char", "n_tokens", "n_crossing")])
+    schema = T.StructType([f(id_col, df.schema[id_col].dataType)] + [f(n, T.LongType()) for n in made])
     needed = [id_col, text_col] + ([sections_col] if sections_col else [])
     return df.select(*dict.fromkeys(needed)).mapInArrow(run, schema)
