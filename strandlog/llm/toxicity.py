@@ -126,7 +126,8 @@ def text_features(text: str | None, known: Known) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 6000) -> OrdinalModel:
     """Fits on at most ``max_labels`` labelled documents; rows without a label or text are not used.
 
-    Several labels of a document count as the largest; several documents of an id all count.
+    Several labels of a document count as the largest; of several documents of an id one counts (that
+    whose text has the least hash).
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     chosen = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labels)
@@ -138,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), batch.column(1)], ["features", "y"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(run, "features array<long>, y int").collect()
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("text", "y").mapInArrow(run, "features array<long>, y int").collect()
     features = [np.array(r[0], dtype=np.int64) for r in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1], features[i].tobytes()))  # the same whatever order tasks end in
     features, y = [features[i] for i in order], np.array([rows[i][1] for i in order], dtype=np.int64)
