@@ -22,6 +22,7 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 17
 SCALE = 1 << 20
 _LOW = (1 << 24) - 1  # the place of a window in the text; the rest holds 40 bits of its hash
+_LONG = (1 << 31) - 1  # the same for texts of more words
 
 
 def base_columns(text) -> list:
@@ -52,39 +53,53 @@ def hashed(words):
 def repeated_words(df: DataFrame, out: str = "n_repeat_words") -> DataFrame:
     """Adds the number of words in three-word windows that occur twice or more in ``words``.
 
-    ``hashes`` must be a column with the words' hashes.  Windows are sorted as longs of 40 hash bits and their place, so equal windows stand side by
-    side.  Neighbours of equal hash are compared word by word; a text in which two different
-    windows share a hash, or with more words than places, is counted by plain comparison instead.
+    ``hashes`` must be a column with the words' hashes.  Windows are sorted as longs of 40 hash bits and their place (33 in texts of more than
+    16 million words), so equal windows stand side by side.  Neighbours of equal hash are compared word by word;
+    the windows of a hash that two different ones share are sorted again by another hash, and those
+    that agree in both are compared with each other.
     """
     w, own = F.col("words"), F.col("hashes")
     n = F.size(w)
+    low = F.when(n > _LOW, F.lit(_LONG)).otherwise(F.lit(_LOW)).cast("long")
+    high = F.bitwise_not(low)
+    none = F.array().cast("array<bigint>")
 
-    def window(x, i):
-        return F.xxhash64(x, F.get(own, i + 1), F.get(own, i + 2)).bitwiseAND(F.lit(~_LOW))
+    def place(x):
+        return x.bitwiseAND(low).cast("int")
 
-    hashes = F.when(n >= 3, F.transform(F.slice(own, F.lit(1), n - 2), window)).otherwise(F.array().cast("array<bigint>"))
+    def alike(x, y):  # equal but for the place; null beyond the ends, which no filter lets pass
+        return x.bitwiseXOR(y).bitwiseAND(high) == F.lit(0).cast("long")
+
+    def side_by_side(s):
+        return F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1)))
+
+    def shared(h):  # hashes of which two neighbours are different windows
+        unlike = F.filter(h, lambda x, i: alike(x, F.get(h, i + 1)) & ~_same(w, place(x), place(F.get(h, i + 1))))
+        return F.array_distinct(F.transform(unlike, lambda x: x.bitwiseAND(high)))
+
+    def parted(h, c):  # windows that repeat for certain, and those still to be looked at
+        return F.when(F.size(c) == 0, h).otherwise(F.filter(h, lambda x: ~F.array_contains(c, x.bitwiseAND(high)))), F.when(F.size(c) == 0, none).otherwise(F.filter(h, lambda x: F.array_contains(c, x.bitwiseAND(high))))
+
+    hashes = F.when(n >= 3, F.transform(F.slice(own, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, F.get(own, i + 1), F.get(own, i + 2)).bitwiseAND(high))).otherwise(none)
     df = df.withColumn("_hashes", hashes)
     # As many hashes as windows: no two windows are equal, and there is nothing to sort.
     some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    df = df.withColumn("_sorted", F.when(some, F.sort_array(F.transform("_hashes", lambda x, i: x.bitwiseOR(i)))).otherwise(F.array().cast("array<bigint>")))
-    s = F.col("_sorted")
-
-    def low(x):
-        return x.bitwiseAND(F.lit(_LOW)).cast("int")
-
-    def alike(x, y):  # equal but for the place; null beyond the ends, which no filter lets pass
-        return F.shiftrightunsigned(x.bitwiseXOR(y), 24) == F.lit(0).cast("long")
-
-    hits = F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1)))
-    df = df.withColumn("_hits", hits)
-    h = F.col("_hits")
-    clash = F.exists(F.transform(h, lambda x, i: F.coalesce(alike(x, F.get(h, i + 1)) & ~_same(w, low(x), low(F.get(h, i + 1))), F.lit(False))), lambda x: x)
-    plain = F.when(n >= 3, F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.exists(F.sequence(F.lit(0), n - 3), lambda j: (i != j) & _same(w, i, j)))).otherwise(F.array().cast("array<int>"))
-    places = F.when(clash | ((n > _LOW) & (F.size(s) > 0)), plain).otherwise(F.sort_array(F.transform(h, low)))
-    df = df.withColumn("_places", places)
+    df = df.withColumn("_hits", F.when(some, F.sort_array(F.transform("_hashes", lambda x, i: x.bitwiseOR(i)))).otherwise(none))
+    df = df.withColumn("_hits", side_by_side(F.col("_hits")))
+    df = df.withColumn("_shared", shared(F.col("_hits")))
+    sure, unsure = parted(F.col("_hits"), F.col("_shared"))
+    df = df.withColumns({"_sure": sure, "_unsure": unsure}).drop("_hashes", "_hits", "_shared")
+    other = F.transform("_unsure", lambda x: F.xxhash64(F.get(own, place(x) + 2), F.get(own, place(x) + 1), F.get(own, place(x))).bitwiseAND(high).bitwiseOR(x.bitwiseAND(low)))
+    df = df.withColumn("_again", F.sort_array(other))
+    df = df.withColumn("_again", side_by_side(F.col("_again")))
+    df = df.withColumn("_shared", shared(F.col("_again")))
+    sure, unsure = parted(F.col("_again"), F.col("_shared"))
+    u = F.col("_unsure")
+    plain = F.filter(u, lambda x: F.exists(u, lambda y: (x != y) & _same(w, place(x), place(y))))
+    df = df.withColumns({"_more": sure, "_unsure": unsure}).withColumn("_places", F.sort_array(F.transform(F.concat("_sure", "_more", plain), place)))
     p = F.col("_places")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn(out, covered).drop("_hashes", "_sorted", "_hits", "_places")
+    return df.withColumn(out, covered).drop("_again", "_shared", "_sure", "_unsure", "_more", "_places")
 
 
 def _cell(x, buckets: int):
