@@ -2,15 +2,16 @@
 
 For every language a context tree over bytes (contexts of 3, 2, 1 and 0 bytes) holds frozen counts
 from training texts.  A byte's probability is that of PPM with escape method C and exclusion: in
-the longest context seen, a symbol counted c times of n, with d different symbols, has c / (n + d),
-and d / (n + d) escapes to the next shorter context, in which the symbols already tried are left
-out; after the empty context the remaining mass is spread over the bytes not seen.  These are
-proper distributions, so the sum of -log2 is the exact code length of a text.  The language with
-the shortest code wins.
+the longest context that the language's tree holds, a symbol counted c times of n, with d different
+symbols, has c / (n + d), and d / (n + d) escapes to the next shorter context, in which the symbols
+already tried are left out; after the empty context the remaining mass is spread over the bytes not
+seen.  These are proper distributions, so the sum of -log2 is the exact code length of a text.  The
+language with the shortest code wins.  A tree holds a context of three bytes if its own language's
+training texts have it ``min_count`` times or more, shorter ones always.
 
 Because the counts are frozen, the code length of a byte depends on the three bytes before it only.
-All of them are computed once per worker into a table (context row x symbol x language), and
-a text is scored with a few array look-ups per byte.  Bytes never seen in training share one class.
+Trees are sorted arrays of what was seen; a worker finds the length of a window of four bytes once in
+each language and keeps it while there is room, so memory is bounded whatever the number of languages.
 
 The model is fitted on at most ``per_lang`` documents of each language, chosen by a hash of the
 id; more than ``max_langs`` languages are an error, none is left out.  Scoring covers every byte of every text.
@@ -32,7 +33,9 @@ from strandlog.llm.common import only, parts
 
 BASE = 257  #: 256 bytes and the sign for "before the text"
 PAD = 256
-PIECE = 1 << 18  #: bytes scored at once
+PIECE = 1 << 20  #: bytes scored at once
+SLOTS = 1 << 21  #: places in which kept windows are looked up
+ROOM = 64 << 20  #: bytes of lengths that a worker keeps
 UND = "und"
 
 
@@ -52,6 +55,12 @@ def held_out(id_col) -> object:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
+def _windows(x: np.ndarray) -> np.ndarray:
+    """The numbers of the windows of four in a sequence of bytes."""
+    x = x.astype(np.int64)
+    return ((x[:-3] * BASE + x[1:-2]) * BASE + x[2:-1]) * BASE + x[3:]
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"".join(t.encode() for t in texts)
     sizes = [len(t.encode()) for t in texts]
@@ -62,11 +71,10 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at, done = at + 3 + n, done + n
     if len(x) < 4:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = ((x[:-3] * BASE + x[1:-2]) * BASE + x[2:-1]) * BASE + x[3:]
-    return np.unique(g[x[3:] != PAD], return_counts=True)
+    return np.unique(_windows(x)[x[3:] != PAD], return_counts=True)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_langs: int = 64, min_count: int = 3) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_langs: int = 1000, min_count: int = 3) -> Model:
     """Counts from the rows that are not held out and have a text and a language."""
     own = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
@@ -98,78 +106,99 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, grams, counts, min_count)
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted number among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """The context tree of one language: per number of context bytes the windows seen and the contexts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, min_count: int):
+        windows, n, contexts, total, different, starts = ([None] * 4 for _ in range(6))
+        for k in (3, 2, 1, 0):
+            code, back = np.unique(grams % BASE ** (k + 1), return_inverse=True)
+            c = np.bincount(back, weights=counts, minlength=len(code))
+            if k == 3 and len(code):
+                context, back = np.unique(code // BASE, return_inverse=True)
+                code, c = (x[np.bincount(back, weights=c)[back] >= min_count] for x in (code, c))
+            windows[k], n[k] = code, c
+            contexts[k], starts[k] = np.unique(code // BASE, return_index=True)
+            total[k] = np.add.reduceat(c, starts[k]) if len(code) else np.zeros(0)
+            different[k] = np.diff(np.append(starts[k], len(code)))
+        self.windows, self.n, self.contexts = windows, n, contexts
+        # ``after[k]``: factors for the shorter contexts, and for a byte never seen, once a context of k bytes has escaped.
+        seen = different[0][0] if len(different[0]) else 0
+        after = [np.zeros((max(1, len(contexts[0])), 5))]
+        after[0][:, 4] = 1 / (256 - seen) if seen < 256 else 0
+        for k in (1, 2, 3):
+            shorter = np.searchsorted(contexts[k - 1], contexts[k] % BASE ** (k - 1))
+            own = n[k - 1][np.searchsorted(windows[k - 1], windows[k] % BASE**k)] if len(windows[k]) else np.zeros(0)
+            left = total[k - 1][shorter] - (np.add.reduceat(own, starts[k]) if len(own) else own)  # counts of bytes not tried yet
+            fresh = different[k - 1][shorter] - different[k]
+            some = left > 0
+            below = np.where(some, left + fresh, 1)
+            factors = np.where(some, fresh / below, 1)[:, None] * after[k - 1][shorter]
+            factors[:, k - 1] = np.where(some, 1 / below, 0)
+            after.append(factors)
+        self.factors = []  # by the number of bytes of the longest context
+        for k in range(4):
+            all_of = total[k] + different[k] if len(contexts[k]) else np.ones(1)
+            escape = different[k] / all_of if len(contexts[k]) else np.ones(1)  # nothing learned: every byte is new
+            factors = escape[:, None] * after[k][: len(all_of)]
+            factors[:, k] = 1 / all_of
+            self.factors.append(factors)
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Code length in bits of the last byte of each window of four."""
+        out = np.zeros((len(codes), 5))
+        level, open_ = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+        for k in (3, 2, 1, 0):
+            at, there = _find(self.contexts[k], codes // BASE % BASE**k)
+            if k == 0:
+                at, there = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+            now = open_ & there
+            out[now], level[now] = self.factors[k][at[now]], k
+            open_ &= ~there
+        p = out[:, 4]
+        for k in range(4):  # the longest context in which the byte was seen counts
+            at, there = _find(self.windows[k], codes % BASE ** (k + 1))
+            there &= level >= k
+            p = np.where(there, out[:, k] * (self.n[k][at] if len(self.n[k]) else 0), p)
+        return -np.log2(np.maximum(p, 1e-300))
+
+
 class Scorer:
-    """The table of code lengths of a model."""
+    """The trees of a model, and the code lengths of the windows met so far."""
 
     def __init__(self, model: Model):
-        every = np.concatenate(model.grams) if model.grams else np.zeros(0, np.int64)
-        total = np.concatenate(model.counts) if model.counts else every
-        seen = np.unique(every % BASE)
-        self.classes = a = len(seen) + 2  # 0: never seen, 1: before the text
-        self.of = np.zeros(BASE, dtype=np.int64)
-        self.of[seen] = np.arange(2, a)
-        self.of[PAD] = 1
-        n_langs = len(model.langs)
-
-        def split(g):
-            return [self.of[(g // BASE**k) % BASE] for k in (3, 2, 1, 0)]
-
-        x, y, z, s = split(every)
-        c3 = (x * a + y) * a + z
-        weight = np.bincount(np.unique(c3, return_inverse=True)[1], weights=total) if len(c3) else np.zeros(0)
-        kept3 = np.unique(c3)[weight >= model.min_count]
-        kept2, kept1 = np.unique(y * a + z), np.unique(z)
-        n3, n2, n1 = len(kept3), len(kept2), len(kept1)
-        rows = n3 + n2 + n1 + 1
-        # Which row stands for a context: the longest suffix that has one.
-        row1 = np.full(a, rows - 1)
-        row1[kept1] = n3 + n2 + np.arange(n1)
-        row2 = np.tile(row1, a)
-        row2[kept2] = n3 + np.arange(n2)
-        self.row = np.tile(row2, a).astype(np.int32)
-        self.row[kept3] = np.arange(n3)
-        # The shorter contexts of each row; the last row, of zeros, stands for "none".
-        suffix2 = np.concatenate([row2[kept3 % (a * a)], np.arange(n3, n3 + n2), np.full(n1 + 1, rows)])
-        suffix1 = np.concatenate([row1[kept3 % a], row1[kept2 % a], np.arange(n3 + n2, rows - 1), [rows]])
-        first = np.concatenate([np.arange(n3), np.full(rows - n3, rows)])
-        chain = (first, suffix2, suffix1, np.full(rows, rows - 1))
-        self.cost = np.empty((rows * a, n_langs), dtype=np.float32)
-        for k in range(n_langs):
-            x, y, z, s = split(model.grams[k])
-            n = model.counts[k].astype(np.float32)
-            counts = np.zeros((rows + 1, a), dtype=np.float32)
-            c3 = (x * a + y) * a + z
-            own = self.row[c3] < n3
-            np.add.at(counts, (self.row[c3[own]], s[own]), n[own])
-            np.add.at(counts, (row2[y * a + z], s), n)
-            np.add.at(counts, (row1[z], s), n)
-            np.add.at(counts, (np.full(len(s), rows - 1), s), n)
-            self.cost[:, k] = self._lengths(counts, chain, a).reshape(-1)
-
-    @staticmethod
-    def _lengths(counts: np.ndarray, chain, a: int) -> np.ndarray:
-        rows = len(counts) - 1
-        p = np.zeros((rows, a), dtype=np.float64)
-        rest = np.ones(rows)
-        out = np.zeros((rows, a), dtype=bool)
-        for level in chain:
-            c = np.where(out, 0, counts[level])
-            n, d = c.sum(1, dtype=np.float64), (c > 0).sum(1)
-            some = n > 0
-            scale = np.where(some, rest / np.where(some, n + d, 1), 0)
-            p += scale[:, None] * c
-            rest = np.where(some, scale * d, rest)
-            out |= c > 0
-        left = 256 - out.sum(1)
-        share = rest / np.maximum(left, 1)
-        p[:, 2:] += np.where(out[:, 2:], 0, share[:, None])
-        p[:, 0] = share
-        p[:, 1] = 1  # never a symbol
-        return -np.log2(np.maximum(p, 1e-300))
+        self.trees = [Tree(g, n, model.min_count) for g, n in zip(model.grams, model.counts)]
+        self.slot = np.zeros(SLOTS, np.int32)
+        self.codes, self.kept = np.full(1, -1, np.int64), np.zeros((len(self.trees), 1))
+
+    def _lengths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, table): the column of the table that holds the lengths of each window."""
+        hashed = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SLOTS
+        at = self.slot[hashed].astype(np.int64)
+        lacking = np.flatnonzero(self.codes[at] != codes)
+        if not len(lacking):
+            return at, self.kept
+        new, first, back = np.unique(codes[lacking], return_index=True, return_inverse=True)
+        own = np.stack([t.lengths(new) for t in self.trees])
+        at[lacking] = self.kept.shape[1] + back
+        table = np.concatenate([self.kept, own], axis=1)
+        free = self.slot[hashed[lacking[first]]] == 0
+        if (len(self.codes) + free.sum()) * 8 * len(self.trees) <= ROOM:
+            self.slot[hashed[lacking[first[free]]]] = len(self.codes) + np.arange(free.sum())
+            self.codes, self.kept = np.append(self.codes, new[free]), np.concatenate([self.kept, own[:, free]], axis=1)
+        return at, table
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language, in bits."""
-        out = np.zeros((len(texts), self.cost.shape[1]))
+        out = np.zeros((len(texts), len(self.trees)))
         first = 0
         while first < len(texts):
             last, size = first, 0
@@ -181,33 +210,31 @@ class Scorer:
         return out
 
     def _score(self, texts, first, last, out):
-        a = self.classes
-        for i in range(first, last) if last - first == 1 else ():
-            for at in range(0, len(texts[i]), PIECE):  # a long text in pieces, each after its last three bytes
-                before = texts[i][max(0, at - 3) : at]
-                x = self.of[np.concatenate([np.full(3 - len(before), PAD), np.frombuffer(before + texts[i][at : at + PIECE], dtype=np.uint8)])]
-                out[i] += self.cost[self.row[(x[:-3] * a + x[1:-2]) * a + x[2:-1]] * np.int64(a) + x[3:]].sum(0, dtype=np.float64)
         if last - first == 1:
+            text = texts[first]
+            for at in range(0, len(text), PIECE):  # a long text in pieces, each after its last three bytes
+                before = text[max(0, at - 3) : at]
+                x = np.concatenate([np.full(3 - len(before), PAD), np.frombuffer(before + text[at : at + PIECE], dtype=np.uint8)])
+                places, table = self._lengths(_windows(x))
+                out[first] += [lengths[places].sum() for lengths in table]
             return
         sizes = np.array([len(t) for t in texts[first:last]])
-        raw = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts[first:last]), dtype=np.uint8)
-        x = self.of[raw]
+        x = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts[first:last]), dtype=np.uint8).astype(np.int64)
         heads = np.cumsum(sizes + 3) - (sizes + 3)
-        for k in range(3):
-            x[heads + k] = 1
-        cost = self.cost[self.row[(x[:-3] * a + x[1:-2]) * a + x[2:-1]] * np.int64(a) + x[3:]]
         real = np.ones(len(x), dtype=bool)
         for k in range(3):
+            x[heads + k] = PAD
             real[heads + k] = False
-        cost = cost[real[3:]]
         some = sizes > 0
         if some.any():
+            places, table = self._lengths(_windows(x)[real[3:]])
             starts = (np.cumsum(sizes) - sizes)[some]
-            out[np.arange(first, last)[some]] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+            for k, lengths in enumerate(table):
+                out[np.arange(first, last)[some], k] = np.add.reduceat(lengths[places], starts)
 
 
 def scorer(model: Model) -> Scorer:
-    """The table of a model, made once by each worker process."""
+    """The trees of a model, made once by each worker process."""
     return only(model.key, lambda: Scorer(model))
 
 
