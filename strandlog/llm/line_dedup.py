@@ -11,7 +11,8 @@ Equal chunks are found by a 128-bit hash; a chunk is removed only after its byte
 compared with those of the first occurrence.  One short line by itself is never removed.
 
 Only hashes are shuffled for all chunks; texts are shuffled once by document, and the bytes of
-chunks only where their hash repeats.
+chunks only where their hash repeats.  The occurrences of a very common chunk are compared in several
+tasks, each with its own copy of the first.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 
 from strandlog.llm.common import only, parts, staged
 
+SPREAD = 4096  #: occurrences of a chunk that one task compares with the first
+
 
 def chunks(text: str | None, long_words: int = 50) -> list[tuple[int, int, str]]:
     """(first line, line after the last, text) of the chunks that may be removed."""
@@ -77,8 +80,8 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[D
     )
     found = staged(found, "chunks")
     spot = F.struct("id", "own_hash", "place")
-    repeated = found.groupBy("hi", "lo").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hi", "lo", "first")
-    spots = found.join(repeated, ["hi", "lo"]).groupBy("id", "own_hash").agg(F.sort_array(F.collect_set(F.struct("place", "stop", "hi", "lo", F.col("first").eqNullSafe(spot).alias("is_first")))).alias("spots"))
+    repeated = found.groupBy("hi", "lo").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.count(F.lit(1)).alias("n")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hi", "lo", "first", (F.col("n") / SPREAD).cast("int").alias("salts"))
+    spots = found.join(repeated, ["hi", "lo"]).groupBy("id", "own_hash").agg(F.sort_array(F.collect_set(F.struct("place", "stop", "hi", "lo", F.col("first").eqNullSafe(spot).alias("is_first"), "salts"))).alias("spots"))
     spots = spots.select(F.col("id").alias("sid"), F.col("own_hash").alias("shash"), "spots")
     with_spots = docs.join(spots, docs[id_col].eqNullSafe(spots["sid"]) & (docs["own_hash"] == spots["shash"]), "left").drop("sid", "shash")
 
@@ -93,33 +96,39 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, **rule) -> tuple[D
                     lines = texts[i].as_py().split("\n")
                     for s in found:
                         rows.append(i)
-                        values.append((s["hi"], s["lo"], s["place"], s["stop"], s["is_first"], "\n".join(lines[s["place"] : s["stop"]]).encode()))
+                        values.append((s["hi"], s["lo"], s["place"], s["stop"], s["is_first"], s["salts"], "\n".join(lines[s["place"] : s["stop"]]).encode()))
             at = pa.array(rows, pa.int64())
-            columns = list(zip(*values)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([ids.take(at), own.take(at)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["id", "own_hash", "hi", "lo", "place", "stop", "is_first", "bytes"])
+            columns = list(zip(*values)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([ids.take(at), own.take(at)] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()))], ["id", "own_hash", "hi", "lo", "place", "stop", "is_first", "salts", "bytes"])
 
     batches_names = [id_col, "own_hash", text_col, "spots"]
     # No column is pruned before this map, so both uses of with_spots share one shuffle of the texts.
     cut = with_spots.filter("spots is not null").mapInArrow(
-        pieces, T.StructType([f("id", id_type), f("own_hash", T.LongType()), f("hi", T.LongType()), f("lo", T.LongType()), f("place", T.IntegerType()), f("stop", T.IntegerType()), f("is_first", T.BooleanType()), f("bytes", T.BinaryType())])
+        pieces, T.StructType([f("id", id_type), f("own_hash", T.LongType()), f("hi", T.LongType()), f("lo", T.LongType()), f("place", T.IntegerType()), f("stop", T.IntegerType()), f("is_first", T.BooleanType()), f("salts", T.IntegerType()), f("bytes", T.BinaryType())])
     )
     cut = staged(cut, "repeated-chunks")
-    firsts = cut.filter("is_first").select("hi", "lo", F.col("bytes").alias("first_bytes")).groupBy("hi", "lo").agg(F.min("first_bytes").alias("first_bytes"))
-    same = cut.filter("not is_first").join(firsts, ["hi", "lo"]).filter(F.col("bytes") == F.col("first_bytes"))
+    firsts = cut.filter("is_first").select("hi", "lo", "salts", F.col("bytes").alias("first_bytes")).groupBy("hi", "lo").agg(F.min("first_bytes").alias("first_bytes"), F.max("salts").alias("salts"))
+    firsts = firsts.select("hi", "lo", "first_bytes", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
+    dealt = cut.filter("not is_first").withColumn("salt", F.pmod(F.hash("id", "own_hash", "place"), F.col("salts") + 1))
+    same = dealt.join(firsts, ["hi", "lo", "salt"]).filter(F.col("bytes") == F.col("first_bytes"))
     removals = same.groupBy("id", "own_hash").agg(F.collect_set(F.struct("place", "stop")).alias("removed")).select(F.col("id").alias("rid"), F.col("own_hash").alias("rhash"), "removed")
     return with_spots, removals
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, **rule) -> DataFrame:
+REPORT = ("lines_removed", "words_removed", "words_left")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool | tuple[str, str, str] = False, **rule) -> DataFrame:
     """The documents with repeated chunks of lines taken out of ``text_col``.
 
-    All columns come back (with ``report`` also lines_removed, words_removed and words_left, which
-    replace columns of these names).  A null text stays null, an empty one empty; a text all of
+    All columns come back (with ``report`` also lines_removed, words_removed and words_left, or three columns
+    of the names given there; they replace columns of their names).  A null text stays null, an empty one empty; a text all of
     whose lines repeat becomes empty.  Equal ids with different texts are ordered by a hash of the
     text; rows equal in id and text count as one document, and each of them keeps what it keeps.
     An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if not (report and c in ("lines_removed", "words_removed", "words_left"))]
+    made = REPORT if report is True else tuple(report or ())
+    names = [c for c in docs.columns if c not in made]
     docs = docs.select(*names)
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])  # no clash with names used here
     own_id, own_text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
@@ -152,9 +161,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words_out.append(words)
                 left.append(len(texts[i].split()) if texts[i] and report else 0)
             cols = [pa.array(texts, pa.string()) if f.name == own_text else get(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(x, pa.int64()) for x in (lines_out, words_out, left)], [f.name for f in kept] + ["lines_removed", "words_removed", "words_left"])
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(x, pa.int64()) for x in (lines_out, words_out, left)], [f.name for f in kept] + list(REPORT))
 
     f = T.StructField
-    out = joined.mapInArrow(edit, T.StructType(kept + [f(n, T.LongType()) for n in ("lines_removed", "words_removed", "words_left")]))
+    out = joined.mapInArrow(edit, T.StructType(kept + [f(n, T.LongType()) for n in REPORT]))
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    return out.select(*own, "lines_removed", "words_removed", "words_left") if report else out.select(*own)
+    return out.select(*own, *[F.col(a).alias(b) for a, b in zip(REPORT, made)])
