@@ -41,6 +41,36 @@ def check_horizon(horizons: dict[str, tuple[int, int]], layer: str, from_ns: int
         raise BeforeHorizon(f"layer {layer} is kept from {time} and seq {seq}")
 
 
+def check_horizons(log: DataFrame, horizons: dict[str, tuple[int, int]], from_ns: int, token: int | None = None) -> None:
+    """Refuses a read of a log that holds records of a layer whose horizon the read passes."""
+    for layer, (time, seq) in sorted(horizons.items()):
+        if (from_ns < time or (token is not None and token < seq)) and log.filter(F.col("layer") == layer).limit(1).count():
+            check_horizon(horizons, layer, from_ns, seq if token is None else token)
+
+
+def refused(asked: DataFrame, horizons: DataFrame) -> DataFrame:
+    """``asked`` (layer, from_ns, token, ...) with ``refused``: whether it reaches before its layer's (layer, time_ns, seq)."""
+    h = F.broadcast(horizons.select("layer", "time_ns", "seq"))  # one row a layer
+    joined = asked.join(h, "layer", "left")
+    return joined.withColumn("refused", F.coalesce((F.col("from_ns") < F.col("time_ns")) | (F.col("token") < F.col("seq")), F.lit(False))).drop("time_ns", "seq")
+
+
+def advanced(horizons: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Horizons (layer, time_ns, seq) moved to those wanted; none moves back, in time or in seq."""
+    both = horizons.select("layer", "time_ns", "seq").unionByName(wanted.select("layer", "time_ns", "seq"))
+    return both.groupBy("layer").agg(F.max("time_ns").alias("time_ns"), F.max("seq").alias("seq"))
+
+
+#: How far behind the reference horizon a layer is kept; a layer that is not here is kept whole.
+OFFSETS_NS = {"L1": 60 * 86_400_000_000_000, "L2": 0, "L3": 0}
+
+
+def horizons_at(log: DataFrame, reference_ns: int) -> DataFrame:
+    """(layer, time_ns, seq): where the layers' horizons lie for a reference horizon; seq is that of the last record known."""
+    rows = [(layer, reference_ns - offset, last_seq(log)) for layer, offset in sorted(OFFSETS_NS.items())]
+    return log.sparkSession.createDataFrame(rows, "layer string, time_ns long, seq long")
+
+
 def append(log: DataFrame, batch: DataFrame, horizons: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """The log with a batch, whole or not at all: every record valid, seqs above the log's, none before its layer's horizon."""
     bad = reject_reason(batch).filter("reject_reason is not null").select("seq", "reject_reason").limit(1).collect()
@@ -81,26 +111,42 @@ def window(log: DataFrame, from_ns: int, to_ns: int, subject_kind: str) -> DataF
     return log.filter((F.col("subject_kind") == subject_kind) & (F.col("event_time_ns") >= from_ns) & (F.col("event_time_ns") < to_ns))
 
 
-def window_since(log: DataFrame, from_ns: int, to_ns: int, at_horizon: bool = False) -> DataFrame:
+def window_since(log: DataFrame, from_ns: int, to_ns: int, at_horizon: bool = False, horizons: dict[str, int] | None = None) -> DataFrame:
     """Seeds and window: what is needed to fold [from, to) without older history.
 
     A seed is the deciding record strictly before ``from`` of a (subject, producer) that is an observe
-    live just before it; when ``from`` is the horizon, one live at it.
+    live just before it; when ``from`` is the horizon (of all layers, or of the layer in ``horizons``), one live at it.
     """
     before = latest_at(log, from_ns - 1).drop("subject")
-    seeds = before.filter(live_at(from_ns if at_horizon else from_ns - 1)).withColumn("part", F.lit("seed"))
+    at = [k for k, h in (horizons or {}).items() if h == from_ns]
+    just_before = live_at(from_ns if at_horizon else from_ns - 1)
+    live = F.when(F.col("layer").isin(at), live_at(from_ns)).otherwise(just_before) if at else just_before
+    seeds = before.filter(live).withColumn("part", F.lit("seed"))
     inside = log.filter((F.col("event_time_ns") >= from_ns) & (F.col("event_time_ns") < to_ns)).withColumn("part", F.lit("window"))
     return seeds.unionByName(inside)
 
 
-def last_assertion(log: DataFrame, references: DataFrame, at_horizon: dict[str, int] | None = None) -> DataFrame:
-    """Newest assertion of each (subject, producer) asked for, with outcome found, baseline_only or none."""
+def last_assertion(log: DataFrame, references: DataFrame, at_horizon: dict[str, int] | None = None, bound: int | None = None) -> DataFrame:
+    """Newest assertion of each (subject, producer) asked for, with outcome found, baseline_only, exhausted or none.
+
+    With ``bound`` the search of a reference looks at no more than that many of the newest records of its
+    side (layer and source): one that has not met the reference by then is exhausted, which says nothing.
+    """
     keyed = log.withColumn("subject", subject_key())
-    newest = keyed.groupBy("subject", "producer").agg(F.max_by(F.struct("seq", "event_time_ns", "kind", "layer"), F.struct("event_time_ns", "seq")).alias("r"))
+    facts = ["seq", "event_time_ns", "kind", "layer"]
+    if bound is not None:
+        side = Window.partitionBy("layer", "source").orderBy(F.desc("event_time_ns"), F.desc("seq"))
+        keyed = keyed.withColumn("place", F.row_number().over(side))
+        facts.append("place")
+    newest = keyed.groupBy("subject", "producer").agg(F.max_by(F.struct(*facts), F.struct("event_time_ns", "seq")).alias("r"))
     out = references.select("subject", "producer").distinct().join(newest, ["subject", "producer"], "left")
     horizon = F.coalesce(*[F.when(F.col("r.layer") == k, F.lit(v)) for k, v in (at_horizon or {}).items()], F.lit(-1)) if at_horizon else F.lit(-1)
-    outcome = F.when(F.col("r").isNull(), "none").when(F.col("r.event_time_ns") < horizon, "baseline_only").otherwise("found")
-    return out.select("subject", "producer", outcome.alias("outcome"), "r.seq", "r.event_time_ns", "r.kind")
+    outcome = F.when(F.col("r").isNull(), "none")
+    if bound is not None:
+        outcome = outcome.when(F.col("r.place") > bound, "exhausted")
+    outcome = outcome.when(F.col("r.event_time_ns") < horizon, "baseline_only").otherwise("found")
+    told = lambda c: F.when(outcome != "exhausted", F.col(f"r.{c}")).alias(c)
+    return out.select("subject", "producer", outcome.alias("outcome"), told("seq"), told("event_time_ns"), told("kind"))
 
 
 def list_entities(log: DataFrame, entity_type: str, after: str = "", n: int = 256) -> DataFrame:
@@ -124,10 +170,19 @@ def retain(log: DataFrame, horizons: dict[str, int]) -> DataFrame:
     return out
 
 
-def page_notes(df: DataFrame, cap: int, order: list) -> tuple[DataFrame, int]:
-    """The first rows by a total order, and how many were cut."""
-    n = df.count()
-    return df.orderBy(*order).limit(cap), max(0, n - cap)
+def ranked(df: DataFrame, order: list, by: list[str] = (), into: str = "place") -> DataFrame:
+    """Adds the place of each row in a total order, per group."""
+    return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def capped(df: DataFrame, cap: int, order: list, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first ``cap`` rows of each group by a total order, and (by, listed, dropped) with exact counts.
+
+    Spark keeps ``cap`` rows of a group in every task before they meet, and counts are combined likewise.
+    """
+    first = ranked(df, order, by).filter(F.col("place") <= cap)
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return first, n.select(*by, F.least("_n", F.lit(cap)).alias("listed"), F.greatest(F.col("_n") - cap, F.lit(0)).alias("dropped"))
 
 
 def gaps(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from strandlog.functions.identity import fingerprint
 from strandlog.functions.text import contains_folded, description_change, payload_name
 from strandlog.operators import fold, log as reads, ranges, spans
 from strandlog.schema import type_of
+from strandlog.staging import staged
 
 SECOND = 1_000_000_000
 
@@ -319,22 +320,3 @@ def recency(log: DataFrame, at: int, extend_fraction: float = 0.5, half_life_of_
     e = e.withColumn("_watch", F.min("ttl_ns").over(Window.partitionBy("subject")))
     best = Window.partitionBy("subject").orderBy("silent_ns", F.desc("last_seen"), "producer")
     return e.filter("_watch > 0").withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("subject", "producer", "last_seen", "silent_ns", "confidence")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Writes an iteration's state to the shared folder named by spark.checkpoint.dir and reads it back."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        global _own_dir
-        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="strandlog-plan-")
-        folder = _own_dir
-    path = f"{folder.rstrip('/')}/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_own_dir: str | None = None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlog import schema
 from strandlog.functions.identity import NAMESPACE, fingerprint
 from strandlog.operators import fold, log as reads, ranges, spans
+from strandlog.operators.order import numbered
 from strandlog.plans import questions as q, scoring, subgraph
 from strandlog.schema import OPEN
 from strandlog.sources import activity, fixtures
@@ -184,21 +185,14 @@ def q9_unattributed(s, d):
     return q.unattributed(log, _pods(log), FROM, TO)
 
 
-def _joint(s, d):
-    """Placements and services as one log, numbered anew."""
-    a, b = fixtures.placements(s, d), fixtures.services(s, d)
-    top = a.agg(F.max("seq")).first()[0]
-    return a.unionByName(b.withColumn("seq", F.col("seq") + top))
-
-
 def q10_service_context(s, d):
-    log = _joint(s, d)
+    log = fixtures.joint(s, d)
     one = log.filter("source like 'service:%'").agg(F.min("source").alias("entity"))
     return q.service_context(log, one, FROM, TO)
 
 
 def q13_unmapped_pods(s, d):
-    return q.unmapped_pods(_joint(s, d), FROM, TO)
+    return q.unmapped_pods(fixtures.joint(s, d), FROM, TO)
 
 
 def q15_blast_radius(s, d):
@@ -273,7 +267,7 @@ def rt1_retain(s, d):
 
 def sm1_numbered(s, d):
     e = s.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "event_type")
-    return coalescer.numbered(e, 1000, ["ts", "event_id"]).select("event_id", "seq")
+    return numbered(e, ["ts", "event_id"], after=1000).select("event_id", "seq")
 
 
 def sm5_coalescer(s, d):

@@ -1,15 +1,27 @@
-"""Projections of the benchmark tables into assertion logs (FIXTURES.md)."""
+"""Projections of the benchmark tables into assertion logs (FIXTURES.md).
+
+A projection is written once per application and folder of tables, in the layout of ``sources.store``,
+and queries read that.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.operators.order import numbered
+from strandlog.sources import store
+from strandlog.staging import exists, new_path
+
 NS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})*1000"
 
+#: Arrival: every seventh event comes 40 places late.
+ARRIVED = "(select *, row_number() over (order by event_id + case when event_id % 7 = 0 then 40 else 0 end, event_id) r from events)"
 PLACEMENTS = """
-with e as (select event_id, {ns} t, user_id u, event_type ty, cast({k} as bigint) k, props,
-   row_number() over (order by event_id + case when event_id % 7 = 0 then 40 else 0 end, event_id) r from events),
+with e as (select event_id, {ns} t, user_id u, event_type ty, cast({k} as bigint) k, props, r from {arrived}),
 b as (select *, concat('p', cast(event_id % 3 as varchar(8))) producer,
    case when ty='error' then 'delete' else 'observe' end kind,
    case ty when 'click' then 21600000000000 when 'view' then 86400000000000 when 'purchase' then 172800000000000 else 0 end ttl_ns,
@@ -36,7 +48,7 @@ union all select 1704067200000000000,'L2','entity', concat('service.instance:',c
 union all select 1704067200000000000,'L2','edge', concat('service.instance:',cast(p_partkey as varchar(20))), concat('service:',p_brand),'instance_of', 0 from part
 union all select 1704067200000000000,'L2','edge', concat('service.instance:',cast(p_partkey as varchar(20))), concat('k8s.pod:',cast(p_partkey%150 as varchar(20))),'part_of', 0 from part
 union all select 1705017600000000000,'L2','edge', concat('service.instance:',cast(p_partkey as varchar(20))), concat('k8s.pod:',cast((p_partkey+1)%150 as varchar(20))),'part_of', 259200000000000 from part where p_partkey%9=0)
-select row_number() over (order by event_time_ns, subject_kind, source, coalesce(target,'')) seq, *, 'svc' producer, 'observe' kind, cast(null as bigint) through_ns, '' payload from a
+select {seq}*, 'svc' producer, 'observe' kind, cast(null as bigint) through_ns, '' payload from a
 """
 
 BOOTS = """
@@ -48,28 +60,86 @@ from events where event_type='signup'
 """
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
-    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
-    text = sql
+def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     for t in tables:  # data frames as query parameters: no views are left behind
-        import re
+        sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
+    out = spark.sql(sql, **tables)
+    return out.withColumn("payload", F.encode("payload", "UTF-8")).withColumn("ttl_ns", F.col("ttl_ns").cast("long"))
+
+
+_kept: dict[tuple[str, str, str], tuple[str, object]] = {}
 
-        text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
-    out = spark.sql(text, **named)
-    return out.withColumn("payload", F.encode("payload", "UTF-8")).withColumn("seq", F.col("seq").cast("long")).withColumn("ttl_ns", F.col("ttl_ns").cast("long"))
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written once per application and folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _kept or not exists(spark, _kept[key][0]):
+        log, path = make(), new_path(spark, f"log-{name}")
+        store.write(log, path)
+        _kept[key] = path, log.schema
+    return store.read(spark, *_kept[key])
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, PLACEMENTS.format(ns=NS.format("ts"), k="get_json_object(props,'$.k')"), ("events", "nation", "region"))
+    def make():
+        t = _tables(spark, sf_dir, "events", "nation", "region")
+        late = F.col("event_id") + F.when(F.col("event_id") % 7 == 0, 40).otherwise(0)
+        arrived = numbered(t.pop("events").withColumn("late", late), ["late", "event_id"], "r")
+        sql = PLACEMENTS.format(ns=NS.format("ts"), k="get_json_object(props,'$.k')", arrived="arrived")
+        return _run(spark, sql, arrived=arrived, **t).withColumn("seq", F.col("seq").cast("long"))
+
+    return kept(spark, sf_dir, "placements", make)
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, SERVICES.format(ns=NS.format("o.o_orderdate")), ("lineitem", "part", "orders"))
+    def make():
+        log = _run(spark, SERVICES.format(ns=NS.format("o.o_orderdate"), seq=""), **_tables(spark, sf_dir, "lineitem", "part", "orders"))
+        return numbered(log, ["event_time_ns", "subject_kind", "source", F.coalesce("target", F.lit(""))])
+
+    return kept(spark, sf_dir, "services", make)
 
 
 def boots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, BOOTS.format(ns=NS.format("ts"), idiv="div"), ("events",))
+    def make():
+        return _run(spark, BOOTS.format(ns=NS.format("ts"), idiv="div"), **_tables(spark, sf_dir, "events")).withColumn("seq", F.col("seq").cast("long"))
+
+    return kept(spark, sf_dir, "boots", make)
+
+
+def joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements and services as one log, numbered anew."""
+    def make():
+        a, b = placements(spark, sf_dir), services(spark, sf_dir)
+        return a.unionByName(b.withColumn("seq", F.col("seq") + reads_top(a)))
+
+    return kept(spark, sf_dir, "joint", make)
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements whose hosts are told of by their boots, some of them clones, and nodes by their own records."""
+    def make():
+        a, b = placements(spark, sf_dir), boots(spark, sf_dir)
+        a = a.filter("source not like 'host:%'").withColumn("boot", F.lit(None).cast("string"))
+        return a.unionByName(b.withColumn("seq", F.col("seq") + reads_top(a)))
+
+    return kept(spark, sf_dir, "hosts", make)
+
+
+def reads_top(log: DataFrame) -> int:
+    return log.agg(F.max("seq")).first()[0] or 0
 
 
 def in_duckdb(sql: str, time: str = "ts") -> str:
-    return sql.format(ns=f"epoch_ns({time})", k="json_extract_string(props,'$.k')", idiv="//")
+    seq = "row_number() over (order by event_time_ns, subject_kind, source, coalesce(target,'')) seq, "
+    return sql.format(ns=f"epoch_ns({time})", k="json_extract_string(props,'$.k')", idiv="//", arrived=ARRIVED, seq=seq)
+
+
+#: The logs that are made of others, for DuckDB: the CTEs pl, sv and bt hold those.
+JOINT = """a as (select seq, event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload from pl
+union all select seq + (select max(seq) from pl), event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload from sv)"""
+HOSTS = """a as (select seq, event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload, cast(null as varchar) boot from pl where source not like 'host:%'
+union all select seq + (select max(seq) from pl where source not like 'host:%'), event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload, boot from bt)"""

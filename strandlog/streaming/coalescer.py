@@ -125,11 +125,6 @@ def counter_sightings(points: DataFrame, idle_ns: int = 930_000_000_000, warm_fr
     return delta.unionByName(cumulative)
 
 
-def numbered(batch: DataFrame, last_seq: int, arrival: list[str]) -> DataFrame:
-    """Dense seqs after ``last_seq`` in the order of arrival."""
-    return batch.withColumn("seq", (F.row_number().over(Window.orderBy(*arrival)) + last_seq).cast("long"))
-
-
 def partial_success(records: DataFrame, bad, unit: str = "log_id") -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected records: a unit (log record or request) with one bad record is rejected whole."""
     marked = records.withColumn("_bad", F.max(F.when(bad, 1).otherwise(0)).over(Window.partitionBy(unit)))
