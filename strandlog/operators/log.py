@@ -98,6 +98,23 @@ def alive_subjects(log: DataFrame, t: int) -> DataFrame:
     return latest_at(log.drop("payload"), t).filter(live_at(t)).select("subject", "layer", "subject_kind", "source", "target", "relation").distinct()
 
 
+class Quarantined(ValueError):
+    """A host whose boots collide: two machines under one id, of which nothing is said."""
+
+
+def alive(log: DataFrame, entities: list[str], t: int) -> DataFrame:
+    """(source, alive) of the entities asked for; raises ``Quarantined`` if one of them is a quarantined host."""
+    from strandlog.operators import fold
+
+    asked = log.sparkSession.createDataFrame([(e,) for e in entities], "source string")
+    if "boot" in log.columns:
+        bad = fold.quarantined(log).join(asked, "source", "left_semi").orderBy("source").limit(1).collect()
+        if bad:
+            raise Quarantined(f"{bad[0]['source']}: boot {bad[0]['boot']} seen at {bad[0]['at']} after a newer one")
+    held = alive_subjects(log.filter("subject_kind = 'entity'").join(asked, "source", "left_semi"), t).select("source", F.lit(True).alias("alive")).distinct()
+    return asked.join(held, "source", "left").select("source", F.coalesce("alive", F.lit(False)).alias("alive"))
+
+
 def neighbors(log: DataFrame, frontier: DataFrame, t: int, direction: str = "forward") -> DataFrame:
     """(entity, peer, relation): edges alive at t of every entity of ``frontier`` (column entity); ends are not checked."""
     near, far = ("source", "target") if direction == "forward" else ("target", "source")

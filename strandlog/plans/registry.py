@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strandlog import schema
 from strandlog.functions.identity import NAMESPACE, fingerprint
 from strandlog.operators import fold, log as reads, ranges, spans
-from strandlog.operators.order import numbered
 from strandlog.plans import questions as q, scoring, subgraph
 from strandlog.schema import OPEN
 from strandlog.sources import activity, fixtures
@@ -245,10 +244,6 @@ def q21_without(s, d):
     return kept.select("subject", "start", "end")
 
 
-def sc3_group_digests(s, d):
-    return activity.group_digests(fixtures.placements(s, d))
-
-
 def sc14_backup_classes(s, d):
     return fixtures.placements(s, d).groupBy(activity.class_of().alias("class")).agg(F.count(F.lit(1)).alias("records"), F.max("seq").alias("max_seq"))
 
@@ -265,11 +260,6 @@ def rt1_retain(s, d):
     return reads.retain(fixtures.placements(s, d), {"L2": FROM}).select("seq", "layer", F.octet_length("payload").alias("payload_bytes"))
 
 
-def sm1_numbered(s, d):
-    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "event_type")
-    return numbered(e, ["ts", "event_id"], after=1000).select("event_id", "seq")
-
-
 def sm5_coalescer(s, d):
     log = fixtures.placements(s, d).withColumn("subject", schema.subject_key()).withColumn("payload", F.decode("payload", "UTF-8"))
     return coalescer.coalesce_batch(log)
@@ -447,6 +437,5 @@ bo as (select coalesce(pr.c, tr.c) c, pr.e said, tr.e is_true, case when pr.e is
 select c "case", count(said) n, count(case when said is not null and is_true is not null then 1 end) hits, count(is_true) truth, count(case when place <= 1 and is_true is not null then 1 end) hits_at_1, count(case when place <= 3 and is_true is not null then 1 end) hits_at_3, count(case when place <= 5 and is_true is not null then 1 end) hits_at_5 from bo group by 1""",
     "sc19_list_entities": f"with {_A} select distinct source entity from a where subject_kind = 'entity' and source like 'k8s.pod:%' and source > 'k8s.pod:3' order by 1 limit 50",
     "rt1_retain": f"with {_A}, " + _latest("le", "(select * from a where layer = 'L2')", FROM - 1) + f" select seq, layer, octet_length(encode(payload)) payload_bytes from a where layer <> 'L2' or event_time_ns >= {FROM} union all select seq, layer, null from le where {_live(FROM)}",
-    "sm1_numbered": "select event_id, 1000 + row_number() over (order by ts, event_id) seq from events",
     "sf1_fingerprints": f"select c_custkey, 'host:' || substr(sha256(from_hex('{(NAMESPACE.encode() + bytes([1, 0, 0, 0, 4]) + b'host' + bytes([0, 0, 0, 1, 0, 0, 0, 7]) + b'host.id' + bytes([1])).hex()}') || from_hex(format('{{:08x}}', octet_length(encode(c_name)))) || encode(c_name)), 1, 32) fingerprint from customer",
 }

@@ -76,12 +76,18 @@ def relations(spark) -> DataFrame:
     return spark.createDataFrame(RELATIONS, "relation string, from_type string, to_type string, propagation string, layer string")
 
 
-def edge_layers(spark, entity_type: str, direction: str) -> list[str]:
+def edge_layers(entity_type: str, direction: str) -> list[str]:
     """Layers that can hold edges of a type in a direction: the partitions a read needs."""
     side = 1 if direction == "forward" else 2
     return sorted({r[4] for r in RELATIONS if r[side] == entity_type})
 
 
+def edge_layers_of_types(spark) -> DataFrame:
+    """(type, direction, layer) of all types that have an edge layer."""
+    rows = [(t, d, layer) for _, t, _, _ in ENTITY_TYPES for d in ("forward", "reverse") for layer in edge_layers(t, d)]
+    return spark.createDataFrame(rows, "type string, direction string, layer string")
+
+
 def reject_reason(df: DataFrame) -> DataFrame:
     """Adds ``reject_reason``: null for a valid record, else the first rule that it breaks."""
     entity, edge = F.col("subject_kind") == "entity", F.col("subject_kind") == "edge"

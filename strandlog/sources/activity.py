@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.operators.log import gaps
+from strandlog.operators.order import numbered
 from strandlog.schema import RECORD, last_of, type_of
 
 COLUMNS = [f.name for f in RECORD.fields]
@@ -29,9 +30,32 @@ def _filled(log: DataFrame) -> DataFrame:
     return log.select(*COLUMNS)
 
 
-def write(log: DataFrame, path: str) -> None:
-    """Sorted by seq, one range of seqs a file."""
-    _filled(log).repartitionByRange("seq").sortWithinPartitions("seq").write.option("compression", "zstd").parquet(path)
+GROUP = 1000  #: records whose digest is kept together
+
+
+def write(log: DataFrame, path: str, rows: int = GROUP) -> None:
+    """Records sorted by seq, one range of seqs a file, under ``records``; digests of groups of ``rows`` under ``groups``."""
+    _filled(log).repartitionByRange("seq").sortWithinPartitions("seq").write.option("compression", "zstd").parquet(f"{path}/records")
+    group_digests(read(log.sparkSession, f"{path}/records"), rows).write.parquet(f"{path}/groups")
+
+
+def checked(spark: SparkSession, path: str, rows: int = GROUP) -> DataFrame:
+    """(group, records, first_seq, last_seq, digest, ok): the groups of a written folder, and whether their records still have their digests.
+
+    A group of either side that the other lacks is not ok; nor is one whose seqs repeat, as they cannot be ascending then.
+    """
+    log = read(spark, f"{path}/records")
+    kept = spark.read.parquet(f"{path}/groups").select("group", *[F.col(c).alias(f"_{c}") for c in ("records", "digest")])
+    now = group_digests(log, rows)
+    ok = F.coalesce((F.col("digest") == F.col("_digest")) & (F.col("records") == F.col("_records")) & (F.col("distinct_seqs") == F.col("records")), F.lit(False))
+    return now.join(kept, "group", "full").select("group", "records", "first_seq", "last_seq", "digest", ok.alias("ok"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, records): how many records either log has that the other lacks, repeated ones counted."""
+    x, y = _filled(a), _filled(b)
+    count = lambda df, side: df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(side).alias("side"), "records")
+    return count(x.exceptAll(y), "first").unionByName(count(y.exceptAll(x), "second"))
 
 
 def archive(log: DataFrame, path: str) -> None:
@@ -59,22 +83,16 @@ def record_bytes() -> Column:
     )
 
 
-def group_digests(log: DataFrame, rows: int = 1000) -> DataFrame:
-    """(group, records, digest): SHA-256 of the encodings of ``rows`` records each, in seq order.
+def group_digests(log: DataFrame, rows: int = GROUP) -> DataFrame:
+    """(group, records, first_seq, last_seq, distinct_seqs, digest): SHA-256 of the encodings of ``rows`` records each, in seq order.
 
     A group is a block of ``rows`` dense places; each is joined in one row of bounded size.
     """
-    full = _filled(log)
-    placed = full.withColumn("group", F.floor((F.row_number().over(Window.orderBy("seq")) - 1) / rows)).select("group", "seq", F.hex(record_bytes()).alias("hex"))
-    parts = placed.groupBy("group").agg(F.count(F.lit(1)).alias("records"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hex"))), lambda x: x["hex"]), "").alias("hex"))
-    return parts.select("group", "records", F.sha2(F.unhex("hex"), 256).alias("digest"))
-
-
-def file_digest(groups: DataFrame) -> str:
-    """SHA-256 of the raw group digests in order."""
-    import hashlib
-
-    return hashlib.sha256(b"".join(bytes.fromhex(r[0]) for r in groups.orderBy("group").select("digest").collect())).hexdigest()
+    placed = numbered(_filled(log).select("seq", F.hex(record_bytes()).alias("hex")), ["seq", "hex"], "place")
+    placed = placed.withColumn("group", F.floor((F.col("place") - 1) / rows))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hex"))), lambda x: x["hex"]), "")
+    parts = placed.groupBy("group").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_distinct("seq").alias("distinct_seqs"), in_order.alias("hex"))
+    return parts.select("group", "records", "first_seq", "last_seq", "distinct_seqs", F.sha2(F.unhex("hex"), 256).alias("digest"))
 
 
 def class_of() -> Column:
@@ -84,22 +102,47 @@ def class_of() -> Column:
 
 
 def cut(log: DataFrame, path: str, after: int, upto: int, generation: int) -> dict:
-    """One generation of a backup: seqs (after, upto] as Parquet by class, and a manifest that commits it."""
+    """One generation of a backup: seqs (after, upto] as Parquet by class, then the manifest that commits it.
+
+    Files lie under ``files``, manifests beside them under ``manifests``.  A generation without its manifest
+    does not count, and a cut that is made again replaces its files.
+    """
     part = _filled(log).filter((F.col("seq") > after) & (F.col("seq") <= upto)).withColumn("class", class_of())
-    part.repartition("class").sortWithinPartitions("seq").write.option("compression", "zstd").partitionBy("class").parquet(f"{path}/gen={generation}")
+    part.repartitionByRange("class", "seq").sortWithinPartitions("seq").write.mode("overwrite").option("compression", "zstd").partitionBy("class").parquet(f"{path}/files/generation={generation}")
     counts = {r["class"]: {"records": r["n"], "min_seq": r["a"], "max_seq": r["b"]} for r in part.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).collect()}
-    manifest = {"generation": generation, "after": after, "upto": upto, "classes": counts}
-    log.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest/gen={generation}")
+    manifest = {"version": 1, "generation": generation, "after": after, "upto": upto, "classes": counts}
+    log.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifests/generation={generation}")
     return manifest
 
 
+MANIFEST = "version int, generation int, after long, upto long, classes map<string,struct<records:long,min_seq:long,max_seq:long>>"
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(generation, after, upto, class, records, min_seq, max_seq): what the committed generations say they hold."""
+    read_back = spark.read.text(f"{path}/manifests").select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+    return read_back.select("generation", "after", "upto", F.explode_outer("classes").alias("class", "c")).select("generation", "after", "upto", "class", "c.records", "c.min_seq", "c.max_seq")
+
+
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    """All generations in seq order; refuses a chain with a gap between generations."""
-    manifests = sorted((json.loads(r[0]) for r in spark.read.text(f"{path}/manifest").select("value").collect()), key=lambda m: m["generation"])
-    for a, b in zip(manifests, manifests[1:]):
-        if b["after"] != a["upto"]:
-            raise ValueError(f"generation {b['generation']} starts after {b['after']}, not {a['upto']}")
-    return read(spark, path).orderBy("seq")
+    """The records of all committed generations; in any order, as seqs give theirs.
+
+    Refused if the chain of generations has a gap or overlaps, or if a class does not hold the records that
+    its manifest counts.
+    """
+    said = manifests(spark, path)
+    chain = sorted({(r["generation"], r["after"], r["upto"]) for r in said.select("generation", "after", "upto").distinct().collect()})  # one row a generation
+    for (_, _, upto), (generation, after, _) in zip(chain, chain[1:]):
+        if after != upto:
+            raise ValueError(f"generation {generation} starts after {after}, not {upto}")
+    if not chain:
+        raise ValueError("no generation is committed")
+    raw = spark.read.parquet(*[f"{path}/files/generation={g}" for g, _, _ in chain])
+    found = raw.groupBy(F.col("class")).agg(F.count(F.lit(1)).alias("n"))
+    wrong = said.groupBy("class").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records")).filter("class is not null").join(found, "class", "full").filter("not records <=> n").limit(1).collect()
+    if wrong:
+        raise ValueError(f"class {wrong[0]['class']} holds {wrong[0]['n']} records, not {wrong[0]['records']}")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD.fields])
 
 
 def dense(log: DataFrame) -> bool:
@@ -125,19 +168,24 @@ def retirable(files: DataFrame, horizon_ns: int, margin_ns: int) -> DataFrame:
 
 
 def file_reach(log: DataFrame, files: int) -> DataFrame:
-    """Reach per class and seq range, as input of ``retirable``."""
-    keyed = log.withColumn("class", class_of()).withColumn("file", F.ntile(files).over(Window.partitionBy("class").orderBy("seq")))
-    return keyed.groupBy("class", "file").agg(F.max(last_of()).alias("reach"), F.min(F.when(F.col("kind") == "observe", F.col("event_time_ns"))).alias("first_observe"))
+    """Reach per class and seq range, as input of ``retirable``: ``files`` ranges of a class, as even as can be.
 
+    Records are numbered by (class, seq) over all tasks, and a class's range is found from its first number.
+    """
+    keyed = numbered(log.withColumn("class", class_of()), ["class", "seq"], "place")
+    sizes = F.broadcast(keyed.groupBy("class").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("_n")))  # five classes
+    own, small = F.col("place") - F.col("_first"), F.floor(F.col("_n") / files)
+    more = F.col("_n") % files  # this many ranges hold one record more
+    file = F.when(own < more * (small + 1), F.floor(own / (small + 1))).otherwise(more + F.floor((own - more * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    placed = keyed.join(sizes, "class").withColumn("file", file.cast("int"))
+    return placed.groupBy("class", "file").agg(F.max(last_of()).alias("reach"), F.min(F.when(F.col("kind") == "observe", F.col("event_time_ns"))).alias("first_observe"))
 
-def replay(log: DataFrame, path: str, batch: int = 100_000, done: int = 0) -> int:
-    """Appends the log to a folder in seq batches; returns the last seq, from which a later call goes on."""
-    last = log.agg(F.max("seq")).first()[0] or 0
-    while done < last:
-        _filled(log).filter((F.col("seq") > done) & (F.col("seq") <= done + batch)).write.mode("append").parquet(path)
-        done += batch
-    return min(done, last)
 
+def replay(log: DataFrame, path: str, batch: int = 100_000, done: int = 0) -> int:
+    """Writes the records after ``done`` to a folder, parted by batches of seqs, in one pass over the log; returns the last seq.
 
-def segment_name() -> str:
-    return f"segment-{uuid.uuid4().hex}"
+    A batch that is written again replaces itself, so a replay that failed is repeated from the last batch known to be whole.
+    """
+    rest = _filled(log).filter(F.col("seq") > done).withColumn("batch", F.floor((F.col("seq") - 1) / batch))
+    rest.repartitionByRange("batch").sortWithinPartitions("batch", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    return log.agg(F.max("seq")).first()[0] or done

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlog.operators.order import numbered
+
 _VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double,kvlistValue:struct<values:array<struct<key:string,value:struct<stringValue:string,intValue:string>>>>>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
 LOGS = f"resourceLogs array<struct<resource:struct<attributes:{_ATTRS}>,scopeLogs:array<struct<scope:struct<name:string>,logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,eventName:string,body:{_VALUE},attributes:{_ATTRS}>>>>>>"
@@ -42,28 +44,37 @@ def metric_points(lines: DataFrame) -> DataFrame:
 
 
 def in_order(records: DataFrame) -> DataFrame:
-    """The embedded sequence key if all records have one, else time and observation."""
-    return records.orderBy(F.col("attrs")["sequence"].cast("long").asc_nulls_last(), F.coalesce("observed_ns", "time_ns"), "time_ns")
+    """Adds ``place``: the embedded sequence key if a record has one, the others after them by observation, then time."""
+    keys = [F.col("attrs")["sequence"].cast("long").asc_nulls_last(), F.coalesce("observed_ns", "time_ns"), "time_ns", "event_name"]
+    return numbered(records, keys, "place")
+
+
+def log_lines(records: DataFrame) -> DataFrame:
+    """(value): JSON lines of log records (request, event_name, time_ns, observed_ns, resource, attrs, body), one request a line.
+
+    A request's records are joined in one row, as they were sent.
+    """
+    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    one = F.struct(
+        F.col("time_ns").cast("string").alias("timeUnixNano"), F.col("observed_ns").cast("string").alias("observedTimeUnixNano"), F.col("event_name").alias("eventName"),
+        F.struct(F.col("body").alias("stringValue")).alias("body"), pairs(F.col("attrs")).alias("attributes"),
+    )
+    scopes = records.groupBy("request", pairs(F.col("resource")).alias("resource")).agg(F.collect_list(one).alias("logRecords"))
+    resource = F.struct(F.struct(F.col("resource").alias("attributes")).alias("resource"), F.array(F.struct("logRecords")).alias("scopeLogs"))
+    return scopes.groupBy("request").agg(F.to_json(F.struct(F.collect_list(resource).alias("resourceLogs"))).alias("value")).select("value")
+
+
+def metric_lines(points: DataFrame) -> DataFrame:
+    """(value): JSON lines of sums (request, metric, temporality, start_ns, time_ns, value, attrs), one request a line."""
+    pairs = F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    one = F.struct(F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("time_ns").cast("string").alias("timeUnixNano"), F.col("value").cast("double").alias("asDouble"), pairs.alias("attributes"))
+    sums = points.groupBy("request", "metric", "temporality").agg(F.collect_list(one).alias("dataPoints"))
+    kind = F.when(F.col("temporality") == "delta", 1).otherwise(2)
+    metric = F.struct(F.col("metric").alias("name"), F.struct(kind.alias("aggregationTemporality"), F.lit(True).alias("isMonotonic"), "dataPoints").alias("sum"))
+    return sums.groupBy("request").agg(F.collect_list(metric).alias("metrics")).select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("metrics")).alias("scopeMetrics"))).alias("resourceMetrics"))).alias("value"))
 
 
 def route(records: DataFrame) -> DataFrame:
     """Adds ``route``: host, entity, object or legacy."""
     entity = F.col("event_name").isin("entity.state", "entity.delete")
     return records.withColumn("route", F.when(entity & (F.col("attrs")["entity.type"] == "host"), "host").when(entity, "entity").when(F.col("attrs")["k8s.resource.name"].isNotNull(), "object").otherwise("legacy"))
-
-
-def reduce_trace(placement: DataFrame, calls: DataFrame) -> DataFrame:
-    """Placement and call rows of a trace as records without seqs: instances on nodes, and service calls.
-
-    placement: (timestamp_ms, service, instance, node); calls: (timestamp_ms, upstream, downstream).
-    """
-    def row(layer, kind, source, target=None, relation=None):
-        text = lambda x: F.lit(None).cast("string") if x is None else x
-        return F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("subject_kind"), source.alias("source"), text(target).alias("target"), text(relation).alias("relation"))
-
-    pod, node, svc = F.concat(F.lit("k8s.pod:"), "instance"), F.concat(F.lit("k8s.node:"), "node"), lambda c: F.concat(F.lit("service:"), c)
-    placed = placement.filter(F.col("instance").isNotNull() & F.col("node").isNotNull()).select("timestamp_ms", F.explode(F.array(row("L2", "entity", pod), row("L2", "entity", node), row("L2", "edge", pod, node, F.lit("scheduled_on")))).alias("r"))
-    named = lambda c: F.col(c).isNotNull() & ~F.col(c).isin("", "UNKNOWN", "UNAVAILABLE", "USER")
-    called = calls.filter(named("upstream") & named("downstream") & (F.col("upstream") != F.col("downstream"))).select("timestamp_ms", F.explode(F.array(row("L3", "entity", svc("upstream")), row("L3", "entity", svc("downstream")), row("L3", "edge", svc("upstream"), svc("downstream"), F.lit("depends_on")))).alias("r"))
-    both = placed.unionByName(called)
-    return both.select((F.col("timestamp_ms") * 1_000_000).cast("long").alias("event_time_ns"), "r.*").distinct()
