@@ -13,9 +13,28 @@ from pyspark.sql import functions as F
 STATE_KEYS = [
     "phase", "reason", "conditions", "containers", "deletion_timestamp", "host_ip", "pod_ips", "node_info", "node_name",
     "k8s.pod.phase", "k8s.pod.status_reason", "k8s.node.condition_ready", "k8s.node.condition_memory_pressure", "k8s.node.condition_disk_pressure",
-    "k8s.node.condition_pid_pressure", "k8s.node.condition_network_unavailable", "container.status", "container.status.reason",
+    "k8s.node.condition_pid_pressure", "k8s.node.condition_network_unavailable", "container.status", "container.status.reason", "k8s.node.name", "container.image.tag",
 ]
 
+# By entity type the payload keys that hold its name and namespace, the first present counts.
+NAME_KEYS = {"k8s.pod": ["name", "k8s.pod.name"], "k8s.node": ["name", "k8s.node.name"], "container": ["name", "k8s.container.name"], "service": ["name"]}
+NAMESPACE_KEYS = {"k8s.pod": ["namespace", "k8s.namespace.name"], "container": ["k8s.namespace.name"], "service": ["namespace"]}
+
+# By entity type the payload keys that are shown, and those of them whose text a sender chose; all other keys are withheld.
+SHOWN_KEYS = {
+    "k8s.pod": ["name", "namespace", "node_name", "phase", "reason", "deletion_timestamp", "owner", "conditions", "containers", "k8s.pod.name", "k8s.namespace.name", "k8s.node.name", "k8s.pod.phase", "k8s.pod.status_reason", "k8s.workload.kind", "k8s.workload.name", "k8s.deployment.name", "k8s.replicaset.name", "k8s.statefulset.name", "pod.creation_timestamp"],
+    "k8s.node": ["name", "labels", "conditions", "k8s.node.name", "node.creation_timestamp", "k8s.node.condition_ready", "k8s.node.condition_memory_pressure", "k8s.node.condition_disk_pressure", "k8s.node.condition_pid_pressure", "k8s.node.condition_network_unavailable"],
+    "host": ["host.arch", "host.type", "os.type", "host.cpu.model.name", "cloud.provider", "cloud.platform", "cloud.region", "cloud.availability_zone"],
+    "container": ["name", "pod_uid", "k8s.container.name", "k8s.pod.name", "k8s.namespace.name", "k8s.node.name", "container.image.name", "container.image.tag", "container.status", "container.status.reason", "container.creation_timestamp"],
+    "service": ["name", "namespace"],
+    "service.instance": ["service.version"],
+}
+TEXT_KEYS = {
+    "k8s.pod": ["name", "namespace", "node_name", "k8s.pod.name", "k8s.namespace.name", "k8s.node.name", "k8s.workload.name", "k8s.deployment.name", "k8s.replicaset.name", "k8s.statefulset.name"],
+    "k8s.node": ["name", "k8s.node.name"], "container": ["name", "k8s.container.name", "k8s.pod.name", "k8s.namespace.name", "k8s.node.name"],
+    "service": ["name", "namespace"], "service.instance": ["service.version"],
+}
+
 # Blocks of the IANA special-purpose address registries that are not globally reachable.
 NOT_GLOBAL = [
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24",
@@ -109,13 +128,36 @@ def description_change(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def payload_name(payload: Column, keys: tuple[str, ...] = ("name", "k8s.pod.name", "k8s.node.name", "host.name", "service.name")) -> Column:
+def _first_text(payload: Column, keys: list[str]) -> Column:
+    """The first of the keys that a payload, one JSON object, holds as text that is not empty."""
     text = payload.cast("string")
-    return F.coalesce(*[F.get_json_object(text, f"$['{k}']") for k in keys])
+    if not keys:
+        return F.lit(None).cast("string")
+    # A value that is no string keeps its brackets or digits in JSON: only quoted values are names.
+    raw = F.from_json(text, "map<string,variant>")
+    kind = lambda k: F.schema_of_variant(F.element_at(raw, k))
+    value = lambda k: F.get_json_object(text, f"$['{k}']")
+    return F.coalesce(*[F.when((kind(k) == "STRING") & (value(k) != ""), value(k)) for k in keys])
+
+
+def payload_name(payload: Column, entity_type: str) -> Column:
+    """The name that a description gives an entity of a type, or null."""
+    return _first_text(payload, NAME_KEYS.get(entity_type, []))
+
 
+def payload_namespace(payload: Column, entity_type: str) -> Column:
+    return _first_text(payload, NAMESPACE_KEYS.get(entity_type, []))
 
-def allow_keys(payload: Column, allowed: list[str]) -> Column:
-    """struct(shown, withheld): a flat payload's allowed entries as JSON with sorted keys, and the names of the others."""
+
+def shown_payload(payload: Column, entity_type: str) -> Column:
+    """struct(shown, withheld): the keys of a flat payload that may be shown, as JSON with sorted keys, and the names of the others, sorted.
+
+    A sender's text that may not be printed is null and named among the withheld; what is not one JSON object is withheld whole.
+    """
+    allowed, text = SHOWN_KEYS.get(entity_type, []), TEXT_KEYS.get(entity_type, [])
     m = F.from_json(payload.cast("string"), "map<string,string>")
-    shown = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: k.isin(allowed)))))
-    return F.struct(F.to_json(shown).alias("shown"), F.array_join(F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, allowed)))), ",").alias("withheld"))
+    bad = lambda k, v: k.isin(text) & ~printable(v)
+    entries = F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: k.isin(allowed))))
+    kept = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.when(~F.coalesce(bad(e["key"], e["value"]), F.lit(False)), e["value"]).alias("value")))
+    held = F.map_keys(F.map_filter(m, lambda k, v: ~k.isin(allowed) | F.coalesce(bad(k, v), F.lit(False))))
+    return F.struct(F.coalesce(F.to_json(F.map_from_entries(kept)), F.lit("{}")).alias("shown"), F.coalesce(F.array_join(F.array_sort(held), ","), F.lit("")).alias("withheld"))

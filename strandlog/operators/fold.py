@@ -66,7 +66,7 @@ def existence_by_producer(log: DataFrame) -> DataFrame:
 
 
 def describe_at(log: DataFrame, x: int, ranks: DataFrame | None = None) -> DataFrame:
-    """(subject, producer, payload): at x the live producer that outranks the others; recency never decides.
+    """(subject, producer, payload, layer, event_time_ns): at x the live producer that outranks the others; recency never decides.
 
     ``ranks`` (producer, rank): listed beats unlisted, then the higher rank, then the smaller name.
     """
@@ -75,7 +75,7 @@ def describe_at(log: DataFrame, x: int, ranks: DataFrame | None = None) -> DataF
     live = e.withColumn("_r", F.row_number().over(last)).filter("_r = 1").filter(live_at(x))
     live = live.join(ranks, "producer", "left") if ranks is not None else live.withColumn("rank", F.lit(None).cast("int"))
     best = Window.partitionBy("subject").orderBy(F.desc_nulls_last("rank"), "producer")
-    return live.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("subject", "producer", "payload")
+    return live.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("subject", "producer", "payload", "layer", "event_time_ns")
 
 
 def evidence(log: DataFrame, at: int) -> DataFrame:

@@ -64,6 +64,11 @@ def ambiguous(claims: DataFrame, by: list[str], target: str) -> DataFrame:
     return islands(sweep(own, by, {"n": "1"}).filter("n > 1").select(*by, "start", "end"), by)
 
 
+def containing(points: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``points`` (on, at) with the start and end of each span that holds their instant."""
+    return points.join(spans.select(*on, "start", "end"), on).filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+
+
 def at(df: DataFrame, t: int) -> DataFrame:
     return df.filter((F.col("start") <= t) & (F.col("end") > t))
 

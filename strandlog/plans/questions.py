@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from strandlog import schema
 from strandlog.functions.identity import fingerprint
-from strandlog.functions.text import contains_folded, description_change, payload_name
+from strandlog.functions.text import contains_folded, description_change, payload_name, payload_namespace, printable
+from strandlog.functions.text import NAME_KEYS, NAMESPACE_KEYS
 from strandlog.operators import fold, log as reads, ranges, spans
 from strandlog.schema import type_of
-from strandlog.staging import staged
 
 SECOND = 1_000_000_000
 
@@ -44,15 +44,70 @@ def entity_history(log: DataFrame, entities: DataFrame, from_ns: int, to_ns: int
     return entities.select(F.col("entity").alias("source")).distinct().join(pieces.select("source", "start", "end", "end_source", "before", "producers"), "source", "left")
 
 
-def descriptions(log: DataFrame, from_ns: int, to_ns: int, ranks: DataFrame | None = None) -> DataFrame:
-    """(subject, from_producer, from_payload, last_producer, last_payload): descriptions at from and just before to."""
+def history_records(log: DataFrame, entities: DataFrame, from_ns: int, to_ns: int, token: int | None = None) -> DataFrame:
+    """(source, seq, event_time_ns, producer, kind): the raw existence records of the entities in the window, overwritten ones too."""
+    own = reads.visible(log, token).join(entities.select(F.col("entity").alias("source")).distinct(), "source", "left_semi")
+    return reads.window(own, from_ns, to_ns, "entity").select("source", "seq", "event_time_ns", "producer", "kind")
+
+
+def existence_of(log: DataFrame, entities: DataFrame, t: int) -> DataFrame:
+    """(entity, existence): alive, not_alive or quarantined at t."""
+    ids = entities.select("entity").distinct()
+    alive = reads.alive_subjects(log.filter("subject_kind = 'entity'"), t).select(F.col("source").alias("entity"), F.lit(True).alias("alive")).distinct()
+    out = ids.join(alive, "entity", "left")
+    if "boot" in log.columns:
+        out = out.join(fold.quarantined(log).select(F.col("source").alias("entity"), F.lit(True).alias("bad")), "entity", "left")
+    else:
+        out = out.withColumn("bad", F.lit(False))
+    return out.select("entity", F.when(F.col("bad"), "quarantined").when(F.col("alive"), "alive").otherwise("not_alive").alias("existence"))
+
+
+def names(log: DataFrame, t: int, entities: DataFrame | None = None) -> DataFrame:
+    """(entity, name, namespace) of the entities of a named type as described at t; what may not be printed is null."""
+    known = log.filter("subject_kind = 'entity'")
+    if entities is not None:
+        known = known.join(entities.select(F.col("entity").alias("source")).distinct(), "source", "left_semi")
+    described = fold.describe_at(known, t)
+    out = None
+    for kind in NAME_KEYS:
+        own = described.filter(type_of(F.col("subject")) == kind)
+        shown = [F.when(printable(c), c).alias(n) for c, n in ((payload_name(F.col("payload"), kind), "name"), (payload_namespace(F.col("payload"), kind), "namespace"))]
+        rows = own.select(F.col("subject").alias("entity"), *shown)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+class Retained(ValueError):
+    """A description was asserted before the horizon, and its payload is no longer kept."""
+
+
+def descriptions(log: DataFrame, from_ns: int, to_ns: int, ranks: DataFrame | None = None, horizons: dict[str, int] | None = None) -> DataFrame:
+    """(subject, from_producer, from_payload, last_producer, last_payload): descriptions at from and just before to.
+
+    Where a layer has a horizon, a winner asserted before it raises ``Retained``: what is not known is not guessed.
+    """
     a, b = fold.describe_at(log, from_ns, ranks), fold.describe_at(log, to_ns - 1, ranks)
+    for found in (a, b) if horizons else ():
+        gone = retained(found, horizons).filter("retained").limit(1).collect()
+        if gone:
+            raise Retained(f"{gone[0]['subject']}: {gone[0]['producer']} asserted it at {gone[0]['event_time_ns']}, before what is kept")
     a = a.select("subject", F.col("producer").alias("from_producer"), F.col("payload").alias("from_payload"))
     return a.join(b.select("subject", F.col("producer").alias("last_producer"), F.col("payload").alias("last_payload")), "subject", "full")
 
 
-def find_entities(log: DataFrame, entity_type: str, from_ns: int, to_ns: int, name: str | None = None, after: str = "", page: int = 256, token: int | None = None) -> DataFrame:
-    """A page of entities of a type with existence in the window, and whose name contains ``name`` (case folded)."""
+def retained(described: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """Descriptions with ``retained``: whether the winner was asserted before its layer's horizon."""
+    before = F.coalesce(*[F.when(F.col("layer") == k, F.col("event_time_ns") < h) for k, h in horizons.items()], F.lit(False))
+    return described.withColumn("retained", before)
+
+
+def find_entities(log: DataFrame, entity_type: str, from_ns: int, to_ns: int, name: str | None = None, namespace: str | None = None, after: str = "", page: int = 256, token: int | None = None) -> DataFrame:
+    """A page of entities of a type and their fate: (entity, fate, name, namespace, class, n_pieces, duration_ns).
+
+    fate: quarantined; absent (no piece in the window); undescribed (a filter is given and there is no description);
+    not_printed (a filter is given and the name or namespace may not be shown); not_matched; or match: the name contains
+    ``name`` (case folded) and the namespace is ``namespace``.  A name that may not be shown is null.
+    """
     if entity_type in ("host", "topo.endpoint"):
         raise ValueError(f"{entity_type} cannot be searched")
     known = reads.visible(log, token)
@@ -60,46 +115,90 @@ def find_entities(log: DataFrame, entity_type: str, from_ns: int, to_ns: int, na
     own = known.filter("subject_kind = 'entity'").join(F.broadcast(ids), "source", "left_semi")  # at most one page
     classes = ranges.classify(ranges.entity_pieces(own, from_ns, to_ns), from_ns, to_ns)
     d = descriptions(own, from_ns, to_ns)
-    named = classes.join(d, "subject", "left").withColumn("name", payload_name(F.coalesce("last_payload", "from_payload")))
+    x = ids.withColumnRenamed("source", "subject").join(classes, "subject", "left").join(d, "subject", "left")
+    payload = F.coalesce("last_payload", "from_payload")
+    x = x.withColumns({"_name": payload_name(payload, entity_type), "_space": payload_namespace(payload, entity_type)})
+    if "boot" in known.columns:
+        x = x.join(fold.quarantined(known).select(F.col("source").alias("subject"), F.lit(True).alias("_bad")), "subject", "left")
+    else:
+        x = x.withColumn("_bad", F.lit(None).cast("boolean"))
+    filtered = F.lit(name is not None or namespace is not None)
+    shown = lambda c: F.when(printable(F.col(c)), F.col(c))
+    hidden = (F.lit(name is not None) & F.col("_name").isNotNull() & shown("_name").isNull()) | (F.lit(namespace is not None) & F.col("_space").isNotNull() & shown("_space").isNull())
+    matches = F.lit(True)
     if name is not None:
-        named = named.filter(contains_folded(F.col("name"), name))
-    return named.select(F.col("subject").alias("entity"), "name", "class", "n_pieces", "duration_ns")
+        matches = matches & F.coalesce(contains_folded(shown("_name"), name), F.lit(False))
+    if namespace is not None:
+        matches = matches & F.coalesce(shown("_space") == namespace, F.lit(False))
+    described = F.col("last_producer").isNotNull() | F.col("from_producer").isNotNull()
+    fate = F.when(F.col("_bad"), "quarantined").when(F.col("n_pieces").isNull(), "absent").when(filtered & ~described, "undescribed").when(hidden, "not_printed").when(~matches, "not_matched").otherwise("match")
+    return x.select(F.col("subject").alias("entity"), fate.alias("fate"), shown("_name").alias("name"), shown("_space").alias("namespace"), "class", "n_pieces", "duration_ns")
 
 
 def resolve_entity(spark: SparkSession, log: DataFrame, entity_type: str, attributes: dict[str, str], t: int, namespace: str) -> DataFrame:
     """(entity, existence): the fingerprint of exact attributes, and alive, not_alive or quarantined at t."""
     row = spark.range(1).select(fingerprint(entity_type, {k: F.lit(v) for k, v in attributes.items()}, namespace).alias("entity"))
-    alive = reads.alive_subjects(log.filter("subject_kind = 'entity'"), t).select(F.col("source").alias("entity"), F.lit(True).alias("alive")).distinct()
-    bad = fold.quarantined(log).select(F.col("source").alias("entity"), F.lit(True).alias("bad"))
-    state = F.when(F.col("bad"), "quarantined").when(F.col("alive"), "alive").otherwise("not_alive")
-    return row.join(alive, "entity", "left").join(bad, "entity", "left").select("entity", state.alias("existence"))
+    return existence_of(log, row, t)
+
+
+# The words of the answers, and what they mean here.
+VOCABULARY = [
+    ("basis", "fact", "a stored record, as stored"), ("basis", "derived", "computed from records at a token under the rules' versions"),
+    ("subject", "asserted", "an entity or relation that a producer asserted"), ("subject", "derived", "what no producer asserted: a reach, a co-resident, a pair"),
+    ("rule", "existence", "existence folded from records"), ("rule", "recency", "how long a dependency was not seen for certain"), ("rule", "blast_radius.reach", "reached from a failing seed over edges that all exist at once"),
+    ("rule", "co_residency.shared_node", "two pods on one node at once"), ("rule", "co_residency.shared_host", "two pods on two nodes of one host at once"),
+    ("rule", "pair.shared_pod", "two services in one pod"), ("rule", "pair.shared_node", "two services with pods on one node at once"), ("rule", "pair.shared_host", "two services with pods on one host at once"),
+    ("end_reason", "producer", "deleted by its producer"), ("end_reason", "liveness_expiry", "not seen for longer than its TTL"), ("end_reason", "cascade", "an end of it ended"), ("end_reason", "retention", "before what is kept"),
+    ("end_reason", "operator", "taken out by an operator"), ("end_reason", "unattributed", "not known"), ("end_reason", "reach_ended", "a derived span ended where one of its legs did"), ("end_reason", "null", "reaches the end of the window"),
+    ("class", "stable", "one span, the whole window"), ("class", "appeared", "one span, from inside to the end"), ("class", "disappeared", "one span, from the start to inside"), ("class", "transient", "one span, inside"), ("class", "flapping", "two spans or more"),
+]
 
 
 def describe_schema(spark: SparkSession) -> DataFrame:
-    """The catalog as rows: entity types with their keys, relations with their ends."""
+    """(what, name, layer, detail): entity types with their keys, relations with their ends, names' keys, and the vocabulary."""
     e = schema.entity_types(spark).select(F.lit("entity").alias("what"), F.col("type").alias("name"), "layer", F.col("identifying_keys").alias("detail"))
     r = schema.relations(spark).select(F.lit("relation").alias("what"), F.col("relation").alias("name"), "layer", F.concat_ws(" ", "from_type", "to_type", "propagation").alias("detail"))
-    return e.unionByName(r)
+    keys = [("name key", t, None, " ".join(k)) for t, k in NAME_KEYS.items()] + [("namespace key", t, None, " ".join(k)) for t, k in NAMESPACE_KEYS.items()]
+    words = [(kind, term, None, meaning) for kind, term, meaning in VOCABULARY]
+    return e.unionByName(r).unionByName(spark.createDataFrame(keys + words, "what string, name string, layer string, detail string"))
 
 
-def graph_diff(log: DataFrame, t1: int, t2: int, token: int | None = None) -> DataFrame:
-    """(subject, subject_kind, bucket, transient, start, end, end_source) of what differs between two instants.
+def graph_diff(log: DataFrame, t1: int, t2: int, token: int | None = None, scope: DataFrame | None = None, horizons: dict[str, int] | None = None) -> DataFrame:
+    """(subject, subject_kind, bucket, transient, start, end, end_source, change, state_keys, attribute_keys) of what differs between two instants.
 
-    bucket: created, deleted, changed (entities whose description differs) or null; transient marks
-    what came and went inside, whatever its bucket.
+    bucket: created, deleted, changed (entities whose description differs), quarantined, or null; transient marks
+    what came and went inside, whatever its bucket.  With ``scope`` (entity) only its entities and the edges at them, each once.
     """
     known, to = reads.visible(log, token), t2 + 1
-    pieces = ranges.entity_pieces(known, t1, to).unionByName(ranges.edge_pieces(known, t1, to).drop("uncascaded"))
+    entities, edges = ranges.entity_pieces(known, t1, to), ranges.edge_pieces(known, t1, to)
+    described = known.filter("subject_kind = 'entity'").drop("boot")
+    if scope is not None:
+        ids = scope.select(F.col("entity").alias("_id")).distinct()
+        entities = entities.join(ids, F.col("source") == F.col("_id"), "left_semi")
+        described = described.join(ids, F.col("source") == F.col("_id"), "left_semi")
+        near = edges.join(ids, F.col("source") == F.col("_id"), "left_semi")
+        edges = near.unionByName(edges.join(ids, F.col("target") == F.col("_id"), "left_semi").join(ids, F.col("source") == F.col("_id"), "left_anti"))
+    marked = edges.filter("uncascaded").select("subject", "subject_kind").distinct()
+    pieces = entities.unionByName(edges.filter("not uncascaded").drop("uncascaded"))
     classes = ranges.classify(pieces, t1, to)
     ends = pieces.groupBy("subject").agg(F.first("subject_kind").alias("subject_kind"), F.min("start").alias("start"), F.max(F.struct("end", "end_source")).alias("e"))
-    d = descriptions(known.filter("subject_kind = 'entity'").drop("boot"), t1, to)
+    d = descriptions(described, t1, to, horizons=horizons)
     both = d.filter("from_producer is not null and last_producer is not null and (from_producer <> last_producer or not from_payload <=> last_payload)")
     parsed = both.withColumn("change", description_change(F.col("from_payload"), F.col("last_payload")))
-    changed = parsed.select("subject", F.when(F.col("from_producer") != F.col("last_producer"), "source_changed").otherwise(F.col("change.kind")).alias("change"), "change.state_keys", "change.attribute_keys")
+    same = F.col("from_producer") == F.col("last_producer")
+    keys = lambda c: F.when(same, F.col(f"change.{c}")).otherwise("").alias(c)
+    changed = parsed.select("subject", F.when(~same, "source_changed").otherwise(F.col("change.kind")).alias("change"), keys("state_keys"), keys("attribute_keys"))
     x = ends.join(classes.select("subject", "class"), "subject").join(changed.filter("change is not null"), "subject", "left")
     at1, at2 = F.col("start") == t1, F.col("e.end") == to
     bucket = F.when(~at1 & at2, "created").when(at1 & ~at2, "deleted").when(at1 & at2 & (F.col("subject_kind") == "entity") & F.col("change").isNotNull(), "changed")
-    out = x.select("subject", "subject_kind", bucket.alias("bucket"), F.col("class").isin("transient", "flapping").alias("transient"), "start", F.col("e.end").alias("end"), F.col("e.end_source").alias("end_source"), F.when(bucket == "changed", F.col("change")).alias("change"))
+    told = lambda c: F.when(bucket == "changed", F.col(c)).alias(c)
+    out = x.select("subject", "subject_kind", bucket.alias("bucket"), F.col("class").isin("transient", "flapping").alias("transient"), "start", F.col("e.end").alias("end"), F.col("e.end_source").alias("end_source"), told("change"), told("state_keys"), told("attribute_keys"))
+    if "boot" in known.columns:
+        bad = fold.quarantined(known).select(F.col("source").alias("subject"), F.lit("entity").alias("subject_kind"))
+        bad = bad.join(scope.select(F.col("entity").alias("subject")).distinct(), "subject", "left_semi") if scope is not None else bad
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("end_source", "string"), ("change", "string"), ("state_keys", "string"), ("attribute_keys", "string"))]
+        shown = bad.unionByName(marked).select("subject", "subject_kind", F.lit("quarantined").alias("bucket"), F.lit(False).alias("transient"), *none)
+        out = out.unionByName(shown)
     return out.filter("bucket is not null or transient")
 
 
@@ -118,191 +217,6 @@ def change_events(log: DataFrame, from_ns: int, to_ns: int, token: int | None =
     return up.unionByName(down)
 
 
-def co_residents(log: DataFrame, seeds: DataFrame, from_ns: int, to_ns: int, token: int | None = None, min_overlap_ns: int = SECOND, boundaries: bool = True) -> DataFrame:
-    """(seed, mechanism, peer, node, peer_node, via, duration_ns, n_spans) of pods that shared a node or a host with the seeds.
-
-    The seeds' own node, and each node's host, count only while they are the only claim.  Overlaps
-    shorter than ``min_overlap_ns`` are left out unless they reach an edge of the window.
-    """
-    known = reads.visible(log, token)
-    e = staged(ranges.edge_pieces(known, from_ns, to_ns).filter("not uncascaded"))  # read several times below
-    on = e.filter("relation = 'scheduled_on'").select(F.col("source").alias("pod"), F.col("target").alias("node"), "start", "end")
-    mine = on.join(seeds.select(F.col("entity").alias("pod")).distinct(), "pod", "left_semi")
-    alone = staged(spans.single_claim(mine, ["pod"], "node").withColumnRenamed("pod", "seed"))
-    hosts = staged(spans.single_claim(e.filter("relation = 'runs_on'").select(F.col("source").alias("node"), F.col("target").alias("host"), "start", "end"), ["node"], "host"))
-    shared = spans.intersect(alone, on.withColumnRenamed("pod", "peer"), ["node"]).filter("seed <> peer")
-    by_node = shared.select("seed", F.lit("shared_node").alias("mechanism"), "peer", "node", F.col("node").alias("peer_node"), F.col("node").alias("via"), "start", "end")
-    at_host = spans.intersect(alone, hosts, ["node"]).select("seed", "node", "host", "start", "end")
-    there = spans.intersect(at_host, hosts.withColumnRenamed("node", "peer_node"), ["host"]).filter("node <> peer_node")
-    peers = spans.intersect(there, on.select(F.col("pod").alias("peer"), F.col("node").alias("peer_node"), "start", "end"), ["peer_node"]).filter("seed <> peer")
-    by_host = peers.select("seed", F.lit("shared_host").alias("mechanism"), "peer", "node", "peer_node", F.col("host").alias("via"), "start", "end")
-    keys = ["seed", "mechanism", "peer", "node", "peer_node", "via"]
-    runs = spans.union_spans(by_node.unionByName(by_host), keys)
-    out = runs.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("duration_ns"), F.count(F.lit(1)).alias("n_spans"), F.min("start").alias("_s"), F.max("end").alias("_e"))
-    edge = (F.col("_s") == from_ns) | (F.col("_e") == to_ns) if boundaries else F.lit(False)
-    return out.filter((F.col("duration_ns") >= min_overlap_ns) | edge).drop("_s", "_e")
-
-
-def unattributed(log: DataFrame, seeds: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
-    """(seed, reason, start, end): when a seed's place is not known: several_nodes, no_host, several_hosts."""
-    e = staged(ranges.edge_pieces(log, from_ns, to_ns).filter("not uncascaded"))
-    mine = e.filter("relation = 'scheduled_on'").select(F.col("source").alias("seed"), F.col("target").alias("node"), "start", "end").join(seeds.select(F.col("entity").alias("seed")).distinct(), "seed", "left_semi")
-    several = spans.ambiguous(mine, ["seed"], "node").withColumn("reason", F.lit("several_nodes"))
-    alone = staged(spans.single_claim(mine, ["seed"], "node"))
-    claims = e.filter("relation = 'runs_on'").select(F.col("source").alias("node"), F.col("target").alias("host"), "start", "end")
-    held = spans.intersect(alone, claims, ["node"]).select("seed", "start", "end")
-    none = spans.subtract(alone.select("seed", "start", "end"), held, ["seed"]).withColumn("reason", F.lit("no_host"))
-    many = spans.intersect(alone, spans.ambiguous(claims, ["node"], "host"), ["node"]).select("seed", "start", "end").withColumn("reason", F.lit("several_hosts"))
-    cols = ["seed", "reason", "start", "end"]
-    return several.select(*cols).unionByName(none.select(*cols)).unionByName(spans.union_spans(many, ["seed", "reason"]).select(*cols))
-
-
-def mapped_instances(pieces: DataFrame) -> DataFrame:
-    """(instance, pod, service, start, end): instances alone in a pod and alone of a service."""
-    pod = spans.single_claim(pieces.filter("relation = 'part_of'").select(F.col("source").alias("instance"), F.col("target").alias("pod"), "start", "end"), ["instance"], "pod")
-    svc = spans.single_claim(pieces.filter("relation = 'instance_of'").select(F.col("source").alias("instance"), F.col("target").alias("service"), "start", "end"), ["instance"], "service")
-    return spans.intersect(pod, svc, ["instance"]).select("instance", "pod", "service", "start", "end")
-
-
-def service_members(pieces: DataFrame, services: DataFrame, max_members: int = 16) -> DataFrame:
-    """(service, member, role, rank): the service, its callers and callees by shared time; self-calls do not count."""
-    from pyspark.sql import Window
-
-    calls = pieces.filter("relation = 'depends_on' and source <> target").select("source", "target", "start", "end")
-    s = services.select(F.col("entity").alias("service")).distinct()
-    callers = calls.join(s, F.col("target") == F.col("service")).select("service", F.col("source").alias("member"), F.lit(1).alias("bit"), "start", "end")
-    callees = calls.join(s, F.col("source") == F.col("service")).select("service", F.col("target").alias("member"), F.lit(2).alias("bit"), "start", "end")
-    both = callers.unionByName(callees)
-    roles = both.groupBy("service", "member").agg(F.bit_or("bit").alias("role"))
-    time = spans.duration(spans.union_spans(both.select("service", "member", "start", "end"), ["service", "member"]), ["service", "member"])
-    order = Window.partitionBy("service").orderBy(F.desc("duration_ns"), "member")
-    ranked = roles.join(time, ["service", "member"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") < max_members)
-    own = s.select("service", F.col("service").alias("member"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("duration_ns"), F.lit(0).alias("rank"))
-    return ranked.unionByName(own)
-
-
-def service_context(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token: int | None = None, max_members: int = 16) -> DataFrame:
-    """(service, member, peer, mechanism, duration_ns): services that shared a pod, node or host with a member's pods.
-
-    Both sides count while their instances are in one pod and of one service only.  Where both are
-    members, the smaller name is ``member``.
-    """
-    known = reads.visible(log, token)
-    pieces = staged(ranges.edge_pieces(known, from_ns, to_ns).filter("not uncascaded"))
-    members = service_members(pieces, services, max_members).select("service", F.col("member"))
-    inst = staged(mapped_instances(pieces))
-    side = inst.select("pod", F.col("service").alias("svc"), F.col("instance"), "start", "end")
-    m = side.withColumnRenamed("svc", "member").join(members, "member").select("service", "pod", "member", F.col("instance").alias("m_instance"), "start", "end")
-    other = side.select("pod", F.col("svc").alias("peer"), F.col("instance").alias("p_instance"), "start", "end")
-    same = spans.intersect(m, other, ["pod"]).filter("member <> peer and m_instance <> p_instance")
-    by_pod = same.select("service", "member", "peer", F.lit("shared_pod").alias("mechanism"), "start", "end")
-    on = pieces.filter("relation = 'scheduled_on'").select(F.col("source").alias("pod"), F.col("target").alias("node"), "start", "end")
-    seeds = m.select(F.col("pod").alias("pod")).distinct()
-    alone = spans.single_claim(on.join(seeds, "pod", "left_semi"), ["pod"], "node")
-    # Union per service and node before pods meet: pairs grow with services on a node, not with its pods.
-    mine = spans.union_spans(spans.intersect(m, alone, ["pod"]).select("service", "member", "node", "start", "end"), ["service", "member", "node"])
-    theirs = spans.union_spans(spans.intersect(other, on, ["pod"]).select("peer", "node", "start", "end"), ["peer", "node"])
-    by_node = spans.intersect(mine, theirs, ["node"]).filter("member <> peer").select("service", "member", "peer", F.lit("shared_node").alias("mechanism"), "start", "end")
-    hosts = spans.single_claim(pieces.filter("relation = 'runs_on'").select(F.col("source").alias("node"), F.col("target").alias("host"), "start", "end"), ["node"], "host")
-    my_host = spans.union_spans(spans.intersect(mine, hosts, ["node"]).select("service", "member", "node", "host", "start", "end"), ["service", "member", "node", "host"])
-    their_host = spans.union_spans(spans.intersect(theirs, hosts, ["node"]).select("peer", F.col("node").alias("p_node"), "host", "start", "end"), ["peer", "p_node", "host"])
-    by_host = spans.intersect(my_host, their_host, ["host"]).filter("member <> peer and node <> p_node").select("service", "member", "peer", F.lit("shared_host").alias("mechanism"), "start", "end")
-    every = by_pod.unionByName(by_node).unionByName(by_host)
-    is_member = members.select("service", F.col("member").alias("peer"), F.lit(True).alias("both"))
-    every = every.join(is_member, ["service", "peer"], "left")
-    swap = F.coalesce("both", F.lit(False)) & (F.col("peer") < F.col("member"))
-    every = every.select("service", F.when(swap, F.col("peer")).otherwise(F.col("member")).alias("member"), F.when(swap, F.col("member")).otherwise(F.col("peer")).alias("peer"), "mechanism", "start", "end")
-    keys = ["service", "member", "peer", "mechanism"]
-    return spans.duration(spans.union_spans(every, keys), keys)
-
-
-def unmapped_pods(log: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
-    """(pod, start, end): existence of pods while no instance maps them to a service."""
-    pods = ranges.entity_pieces(log, from_ns, to_ns).filter("source like 'k8s.pod:%'").select(F.col("source").alias("pod"), "start", "end")
-    inst = mapped_instances(ranges.edge_pieces(log, from_ns, to_ns).filter("not uncascaded"))
-    return spans.subtract(pods, inst.select("pod", "start", "end"), ["pod"])
-
-
-def ubiquitous(covered: DataFrame, frontier_size: int, numerator: int = 4, denominator: int = 5, min_nodes: int = 5) -> DataFrame:
-    """Peers seen on at least numerator/denominator of the frontier's nodes. ``covered``: (peer, node)."""
-    from strandlog.functions.text import ratio_reached
-
-    if frontier_size < min_nodes:
-        return covered.select("peer").limit(0)
-    return covered.groupBy("peer").agg(F.count_distinct("node").alias("n")).filter(ratio_reached(F.col("n"), F.lit(frontier_size), numerator, denominator)).select("peer")
-
-
-def legs(log: DataFrame, from_ns: int, to_ns: int) -> DataFrame:
-    """(child, parent, relation, start, end): edges along which failure travels from parent to child.
-
-    runs_on and located_in count only while they are the only claim of their relation and type.
-    """
-    spark = log.sparkSession
-    moving = F.broadcast(schema.relations(spark).filter("propagation <> 'none'").select("relation").distinct())  # a handful of names
-    e = ranges.edge_pieces(log, from_ns, to_ns).join(moving, "relation", "left_semi").filter("not uncascaded")
-    e = e.select(F.col("source").alias("child"), F.col("target").alias("parent"), "relation", "start", "end")
-    one = e.filter(F.col("relation").isin(*schema.SINGLE_CLAIM)).withColumn("kind", type_of(F.col("parent")))
-    alone = spans.single_claim(one, ["child", "relation", "kind"], "parent").select("child", "parent", "relation", "start", "end")
-    return e.filter(~F.col("relation").isin(*schema.SINGLE_CLAIM)).unionByName(alone)
-
-
-def blast_radius(log: DataFrame, seeds: DataFrame, from_ns: int, to_ns: int, token: int | None = None, max_depth: int = 6, max_frontier: int | None = 1024, stage=None) -> DataFrame:
-    """(seed, member, depth, start, end): when each seed's failure reaches each member, and at which depth first.
-
-    Reach is carried as spans along paths, never over a union of edges.  Per depth one overlap join; the
-    state is written between depths by ``stage`` so a lost executor costs one depth at most.
-    ``seeds``: (entity) with optional start and end.
-    """
-    from pyspark.sql import Window
-
-    stage = stage or staged
-    edges = stage(legs(reads.visible(log, token), from_ns, to_ns))
-    start = seeds if "start" in seeds.columns else seeds.select("entity", F.lit(from_ns).alias("start"), F.lit(to_ns).alias("end"))
-    delta = start.select(F.col("entity").alias("seed"), F.col("entity").alias("member"), "start", "end")
-    reach = None
-    for depth in range(1, max_depth + 1):
-        found = spans.intersect(delta.withColumnRenamed("member", "parent"), edges.select("child", "parent", "start", "end"), ["parent"]).filter("child <> seed")
-        gained = spans.union_spans(found.select("seed", F.col("child").alias("member"), "start", "end"), ["seed", "member"])
-        grown = spans.subtract(gained, reach, ["seed", "member"]) if reach is not None else gained
-        grown = stage(grown.select("seed", "member", "start", "end", F.lit(depth).alias("depth")))
-        if not grown.limit(1).count():
-            break
-        reach = grown if reach is None else reach.unionByName(grown)
-        delta = grown.drop("depth")
-        if max_frontier is not None:
-            size = spans.duration(delta, ["seed", "member"])
-            order = Window.partitionBy("seed").orderBy(F.desc("duration_ns"), type_of(F.col("member")), "member")
-            top = size.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_frontier).select("seed", "member")
-            delta = delta.join(top, ["seed", "member"], "left_semi")
-    if reach is None:
-        return delta.limit(0).select("seed", "member", F.lit(0).alias("depth"), "start", "end")
-    first = reach.groupBy("seed", "member").agg(F.min("depth").alias("depth"))
-    return spans.union_spans(reach.select("seed", "member", "start", "end"), ["seed", "member"]).join(first, ["seed", "member"]).select("seed", "member", "depth", "start", "end")
-
-
-def substrates(log: DataFrame, pod: str, from_ns: int, to_ns: int, max_depth: int = 6) -> DataFrame:
-    """(entity, depth, start, end): what a pod stood on, upward, with the times it did."""
-    edges = staged(legs(log, from_ns, to_ns))
-    delta = log.sparkSession.createDataFrame([(pod, from_ns, to_ns)], "entity string, start long, end long")
-    reach = None
-    for depth in range(1, max_depth + 1):
-        up = spans.intersect(delta.withColumnRenamed("entity", "child"), edges.select("child", "parent", "start", "end"), ["child"]).select(F.col("parent").alias("entity"), "start", "end")
-        gained = spans.union_spans(up, ["entity"])
-        grown = spans.subtract(gained, reach, ["entity"]) if reach is not None else gained
-        grown = staged(grown.select("entity", "start", "end", F.lit(depth).alias("depth")))
-        if not grown.limit(1).count():
-            break
-        reach = grown if reach is None else reach.unionByName(grown)
-        delta = grown.drop("depth")
-    return reach if reach is not None else delta.limit(0).withColumn("depth", F.lit(0))
-
-
-def around(log: DataFrame, pod: str, from_ns: int, to_ns: int) -> DataFrame:
-    """(seed, member, depth, start, end): the blast radius of a pod's nodes and hosts, while the pod was on them."""
-    on = substrates(log, pod, from_ns, to_ns).filter(type_of(F.col("entity")).isin("k8s.node", "host"))
-    return blast_radius(log, on.select("entity", "start", "end"), from_ns, to_ns).filter(F.col("member") != pod)
-
-
 def recency(log: DataFrame, at: int, extend_fraction: float = 0.5, half_life_of_x: float = 0.25) -> DataFrame:
     """(subject, producer, last_seen, silent_ns, confidence) of elements all of whose live producers have a TTL.
 

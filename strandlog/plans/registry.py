@@ -138,12 +138,6 @@ def iv14_union(s, d):
     return spans.union_spans(_claims(s, d).select("node", "start", "end"), ["node"])
 
 
-def iv15_subtract(s, d):
-    """Existence of pods while they are on no node."""
-    pods = ranges.entity_pieces(fixtures.placements(s, d), FROM, TO).filter("source like 'k8s.pod:%'").select(F.col("source").alias("pod"), "start", "end")
-    return spans.subtract(pods, _claims(s, d).select("pod", "start", "end"), ["pod"])
-
-
 def iv17_single_claim(s, d):
     return spans.single_claim(_claims(s, d), ["pod"], "node")
 
@@ -154,14 +148,6 @@ def q2_entity_history(s, d):
     return q.entity_history(log, nodes, FROM, TO).select("source", "start", "end", "end_source", "producers")
 
 
-def q3_find_entities(s, d):
-    return q.find_entities(fixtures.placements(s, d), "k8s.pod", FROM, TO, after="k8s.pod:2").select("entity", "class", "n_pieces", "duration_ns")
-
-
-def q5_describe_schema(s, d):
-    return q.describe_schema(s)
-
-
 def q6_graph_diff(s, d):
     return q.graph_diff(fixtures.placements(s, d), FROM, TO - 1).select("subject", "bucket", "transient", "start", "end", "end_source", "change")
 
@@ -174,40 +160,6 @@ def q8_change_events(s, d):
     return q.change_events(fixtures.placements(s, d), FROM, TO)
 
 
-def q9_co_residents(s, d):
-    log = fixtures.placements(s, d)
-    return q.co_residents(log, _pods(log), FROM, TO)
-
-
-def q9_unattributed(s, d):
-    log = fixtures.placements(s, d)
-    return q.unattributed(log, _pods(log), FROM, TO)
-
-
-def q10_service_context(s, d):
-    log = fixtures.joint(s, d)
-    one = log.filter("source like 'service:%'").agg(F.min("source").alias("entity"))
-    return q.service_context(log, one, FROM, TO)
-
-
-def q13_unmapped_pods(s, d):
-    return q.unmapped_pods(fixtures.joint(s, d), FROM, TO)
-
-
-def q15_blast_radius(s, d):
-    return q.blast_radius(fixtures.placements(s, d), s.createDataFrame([(SEED_HOST,)], "entity string"), FROM, TO, max_frontier=None)
-
-
-def q15_blast_radius_services(s, d):
-    log = fixtures.services(s, d)
-    return q.blast_radius(log, log.filter("source like 'service:%'").agg(F.min("source").alias("entity")), 820454400000000000, 823046400000000000, max_frontier=None)
-
-
-def q16_around(s, d):
-    log = fixtures.placements(s, d)
-    return q.around(log, _seed(log).first()[0], FROM, TO)
-
-
 def q17_recency(s, d):
     return q.recency(fixtures.placements(s, d), TO - 1).select("subject", "producer", "last_seen", "silent_ns", F.round("confidence", 9).alias("confidence"))
 
@@ -233,11 +185,6 @@ def q18_subgraph_deltas(s, d):
     return _subgraph(s, d)[2]
 
 
-def q18_subgraph_keyframes(s, d):
-    pieces, numbers, changes = _subgraph(s, d)
-    return subgraph.keyframes(pieces, numbers, changes, FROM)
-
-
 def q21_without(s, d):
     pieces = _subgraph(s, d)[0]
     kept, _ = subgraph.without(pieces, s.createDataFrame([("k8s.node:3",)], "entity string"))
@@ -311,11 +258,17 @@ c2 as (select c1.subject, c1.source, c1.target, c1.relation, greatest(c1.s, en.s
   from c1 join en on c1.target = en.source and c1.s < en.e and en.s < c1.e)"""
 
 
-def _clip(name: str, source: str) -> str:
-    return f'{name} as (select subject, source, target, relation, greatest(s, {FROM}) "start", least(e, {TO}) "end", s < {FROM} "before", case when e < {TO} then why end end_source from {source} where s < {TO} and e > {FROM})'
+def _clip(name: str, source: str, start: int = FROM, to: int = TO) -> str:
+    return f'{name} as (select subject, source, target, relation, greatest(s, {start}) "start", least(e, {to}) "end", s < {start} "before", case when e < {to} then why end end_source from {source} where s < {to} and e > {start})'
+
+
+def pieces_of(log: str, start: int = FROM, to: int = TO) -> str:
+    """CTEs over the log in ``a``: edge pieces in ep, entity pieces in np."""
+    past = log + f", past as (select * from a where event_time_ns < {to})"
+    return f"with {past}, {_ENT}, {_EDG}, {_CUT}, " + _clip("ep", "c2", start, to) + ", " + _clip("np", "en", start, to)
 
 
-_PIECES = f"with {_PAST}, {_ENT}, {_EDG}, {_CUT}, " + _clip("ep", "c2") + ", " + _clip("np", "en")
+_PIECES = pieces_of(_A)
 _BOTH = ", bp as (select *, 'edge' subject_kind from ep union all select *, 'entity' from np)"
 
 
@@ -392,30 +345,12 @@ select max(seq) seq, min(event_time_ns) event_time_ns, min(source) source, min(t
     "iv10_view_at": _PIECES + f' select subject, "start", "end" from ep where "start" <= {T} and "end" > {T}',
     "iv13_duration": _CLAIMS + ' select pod, cast(sum("end" - "start") as bigint) duration_ns from cl group by pod',
     "iv14_union": _CLAIMS + ", " + _islands("u", "cl", "node") + " select * from u",
-    "iv15_subtract": _CLAIMS + """, po as (select source pod, "start", "end" from np where source like 'k8s.pod:%'),
-bo as (select pod, "start" p from po union select pod, "end" from po union select pod, "start" from cl union select pod, "end" from cl),
-el as (select pod, p "start", lead(p) over (partition by pod order by p) "end" from bo),
-lf as (select el.* from el where "end" is not null and exists (select 1 from po where po.pod = el.pod and po."start" <= el."start" and po."end" >= el."end") and not exists (select 1 from cl where cl.pod = el.pod and cl."start" < el."end" and el."start" < cl."end")), """ + _islands("u", "lf", "pod") + " select * from u",
     "iv17_single_claim": _CLAIMS + ", " + _single("sc", "cl", "pod", "node") + " select * from sc",
     "q2_entity_history": _PIECES + ", " + _fold("bp", "(select * from past where subject_kind = 'entity')", True) + """, pr as (select np.subject, np."start", string_agg(distinct bp.producer, ',' order by bp.producer) producers from np join bp on np.subject = bp.subject and bp.s < np."end" and np."start" < bp.e group by np.subject, np."start")
 select i.source, np."start", np."end", np.end_source, producers from (select distinct source from a where subject_kind = 'entity' and source like 'k8s.pod:%') i left join np on np.source = i.source left join pr on pr.subject = np.subject and pr."start" = np."start\"""",
-    "q3_find_entities": _PIECES + f""", pg as (select distinct source from a where subject_kind = 'entity' and source like 'k8s.pod:%' and source > 'k8s.pod:2' order by source limit 256),
-cs as ({_CLASSES} np where source in (select source from pg) group by subject) select subject entity, "class", n_pieces, duration_ns from cs""",
     "q6_graph_diff": _DIFF + " select subject, bucket, \"transient\", \"start\", \"end\", end_source, case when bucket = 'changed' then change end change from df where bucket is not null or \"transient\"",
     "q6_diff_counts": _DIFF + ", b as (select subject_kind, bucket from df where bucket is not null union all select subject_kind, 'transient' from df where \"transient\") select bucket, count(*) filter (where subject_kind = 'entity') entities, count(*) filter (where subject_kind = 'edge') edges from b group by bucket",
     "q8_change_events": _PIECES + _BOTH + f' select "start" "at", subject, true appear, cast(null as varchar) end_source from bp where "start" > {FROM} union all select "end", subject, false, end_source from bp where "end" < {TO}',
-    "q9_co_residents": _CLAIMS + """, me as (select * from cl),
-ho as (select source node, target host, "start", "end" from ep where relation = 'runs_on'), """ + _single("al", "me", "pod", "node") + ", " + _single("oh", "ho", "node", "host") + f""",
-n1 as (select al.pod seed, 'shared_node' mechanism, cl.pod peer, al.node, al.node peer_node, al.node via, greatest(al."start", cl."start") "start", least(al."end", cl."end") "end" from al join cl on al.node = cl.node and al.pod <> cl.pod and al."start" < cl."end" and cl."start" < al."end"),
-h1 as (select al.pod seed, al.node, oh.host, greatest(al."start", oh."start") "start", least(al."end", oh."end") "end" from al join oh on al.node = oh.node and al."start" < oh."end" and oh."start" < al."end"),
-h2 as (select h1.seed, h1.node, h1.host, oh.node peer_node, greatest(h1."start", oh."start") "start", least(h1."end", oh."end") "end" from h1 join oh on h1.host = oh.host and h1.node <> oh.node and h1."start" < oh."end" and oh."start" < h1."end"),
-h3 as (select h2.seed, 'shared_host' mechanism, cl.pod peer, h2.node, h2.peer_node, h2.host via, greatest(h2."start", cl."start") "start", least(h2."end", cl."end") "end" from h2 join cl on h2.peer_node = cl.node and h2.seed <> cl.pod and h2."start" < cl."end" and cl."start" < h2."end"),
-ev as (select * from n1 union all select * from h3), """ + _islands("u", "ev", "seed, mechanism, peer, node, peer_node, via") + f"""
-select seed, mechanism, peer, node, peer_node, via, cast(sum("end" - "start") as bigint) duration_ns, count(*) n_spans from u group by all having sum("end" - "start") >= 1000000000 or min("start") = {FROM} or max("end") = {TO}""",
-    "q15_blast_radius": _PIECES + """, ho as (select source node, target host, "start", "end" from ep where relation = 'runs_on'), """ + _single("oh", "ho", "node", "host") + f""",
-r1 as (select node member, 1 depth, "start", "end" from oh where host = '{SEED_HOST}'),
-r2 as (select ep.source member, 2 depth, greatest(ep."start", r1."start") "start", least(ep."end", r1."end") "end" from r1 join ep on ep.target = r1.member and ep.relation = 'scheduled_on' and ep."start" < r1."end" and r1."start" < ep."end"),
-ev as (select * from r1 union all select * from r2), """ + _islands("u", "ev", "member, depth") + f" select '{SEED_HOST}' seed, member, depth, \"start\", \"end\" from u",
     "q17_recency": f"with {_A}, p as (select * from (select *, concat_ws(' ', source, relation, target) subject, row_number() over (partition by concat_ws(' ', source, relation, target), producer, event_time_ns order by seq desc) rn from a where event_time_ns <= {TO - 1}) where rn = 1), " + f"""
 m as (select subject, producer, max(greatest(event_time_ns, coalesce(through_ns, event_time_ns))) filter (where kind = 'observe') latest from p group by subject, producer),
 l as (select * from (select *, row_number() over (partition by subject, producer order by event_time_ns desc) rk from p) where rk = 1 and {_live(TO - 1)}),

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.operators import log as reads, ranges
+from strandlog.staging import staged
+
 KS = (1, 3, 5)  #: cut-offs of the figures at k
 
 
@@ -36,6 +39,25 @@ def case_scores(predictions: DataFrame, truth: DataFrame, skip: DataFrame | None
     return out.withColumns({"precision": _ratio(F.col("hits"), F.col("n")), "recall": _ratio(F.col("hits"), F.col("truth")), "f1": _ratio(2 * F.col("hits"), F.col("n") + F.col("truth"))})
 
 
+def one_hop(log: DataFrame, seeds: DataFrame, t: int) -> DataFrame:
+    """(case, entity): the baseline that names all that stands on a seed at an instant, and no more."""
+    return reads.neighbors(log, seeds, t, "reverse").select(F.col("entity").alias("case"), F.col("peer").alias("entity")).distinct()
+
+
+def union_graph(log: DataFrame, seeds: DataFrame, from_ns: int, to_ns: int, max_depth: int = 6) -> DataFrame:
+    """(case, entity): the baseline that follows edges of the window as if all existed at once."""
+    edges = staged(ranges.edge_pieces(log, from_ns, to_ns).select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct(), "union")
+    found = seeds.select(F.col("entity").alias("case"), "entity")
+    reached = found
+    for _ in range(max_depth):
+        new = found.join(edges, found["entity"] == edges["parent"]).select("case", F.col("child").alias("entity")).distinct()
+        found = staged(new.join(reached, ["case", "entity"], "left_anti"), "union")
+        if not found.limit(1).count():
+            break
+        reached = reached.unionByName(found)
+    return reached.filter("case <> entity")
+
+
 def pooled(scores: DataFrame, universe: int | None = None, weight=None) -> DataFrame:
     """One row over the cases that have a truth: cases, n, hits, truth, precision, recall, f1 (and lift).
 

@@ -16,6 +16,8 @@ from strandlog.operators.order import numbered
 from strandlog.sources import store
 from strandlog.staging import exists, new_path
 
+JANUARY_NS, DAY_NS = 1_704_067_200_000_000_000, 86_400_000_000_000
+
 NS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})*1000"
 
 #: Arrival: every seventh event comes 40 places late.
@@ -60,6 +62,18 @@ from events where event_type='signup'
 """
 
 
+#: Pods and containers with descriptions that change: (customer modulo 5) 0 not, 1 a state, 2 an attribute, 3 both, 4 no JSON object any more.
+NAMED = """
+with c as (select c_custkey k, c_name n, lower(c_mktsegment) m, c_nationkey x from customer),
+p as (select k, 1 o, concat('{{"k8s.pod.name":"', n, '","namespace":"', m, '","phase":"Running","host_ip":"10.0.0.', cast(x as varchar(9)), '"}}') payload from c
+union all select k, 2, case k % 5 when 4 then 'junk' else concat('{{"namespace":"', m, '","k8s.pod.name":"', n, '","phase":"', case when k % 5 in (1, 3) then 'Failed' else 'Running' end, '","host_ip":"10.0.0.', cast(x as varchar(9)), '"', case when k % 5 in (2, 3) then ',"owner":"o"' else '' end, '}}') end from c)
+select cast(2 * k + o as bigint) seq, case o when 1 then 1704758400000000000 else 1704931200000000000 end event_time_ns, 'L2' layer, 'entity' subject_kind, concat('k8s.pod:c', cast(k as varchar(20))) source,
+   cast(null as varchar(40)) target, cast(null as varchar(20)) relation, 'named' producer, 'observe' kind, cast(0 as bigint) ttl_ns, cast(null as bigint) through_ns, payload from p
+union all select 1000000 + k, 1704758400000000000, 'L2', 'entity', concat('container:c', cast(k as varchar(20))), null, null, 'named', 'observe', 0, null,
+   concat('{{"k8s.container.name":"box ', cast(k % 7 as varchar(9)), '","k8s.pod.name":"', n, '","secret":"s"}}') from c
+"""
+
+
 def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     for t in tables:  # data frames as query parameters: no views are left behind
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
@@ -111,10 +125,13 @@ def boots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placements and services as one log, numbered anew."""
+    """Placements and services as one log, numbered anew; calls are moved into January 2024, and instances leave their pods after twelve days."""
     def make():
         a, b = placements(spark, sf_dir), services(spark, sf_dir)
-        return a.unionByName(b.withColumn("seq", F.col("seq") + reads_top(a)))
+        call = F.col("relation") == "depends_on"
+        moved = F.when(call, F.lit(JANUARY_NS) + F.col("event_time_ns") % (20 * DAY_NS)).otherwise(F.col("event_time_ns"))
+        ttl = F.when(call, F.lit(3 * DAY_NS)).when((F.col("relation") == "part_of") & (F.col("ttl_ns") == 0), F.lit(12 * DAY_NS)).otherwise(F.col("ttl_ns"))
+        return a.unionByName(b.withColumns({"seq": F.col("seq") + reads_top(a), "event_time_ns": moved, "ttl_ns": ttl}))
 
     return kept(spark, sf_dir, "joint", make)
 
@@ -129,6 +146,10 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "hosts", make)
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "named", lambda: _run(spark, NAMED, **_tables(spark, sf_dir, "customer")).withColumn("seq", F.col("seq").cast("long")))
+
+
 def reads_top(log: DataFrame) -> int:
     return log.agg(F.max("seq")).first()[0] or 0
 
@@ -140,6 +161,7 @@ def in_duckdb(sql: str, time: str = "ts") -> str:
 
 #: The logs that are made of others, for DuckDB: the CTEs pl, sv and bt hold those.
 JOINT = """a as (select seq, event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload from pl
-union all select seq + (select max(seq) from pl), event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload from sv)"""
+union all select seq + (select max(seq) from pl), case when relation = 'depends_on' then 1704067200000000000 + event_time_ns % 1728000000000000 else event_time_ns end, layer, subject_kind, source, target, relation, producer, kind,
+  case when relation = 'depends_on' then 259200000000000 when relation = 'part_of' and ttl_ns = 0 then 1036800000000000 else ttl_ns end, through_ns, payload from sv)"""
 HOSTS = """a as (select seq, event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload, cast(null as varchar) boot from pl where source not like 'host:%'
 union all select seq + (select max(seq) from pl where source not like 'host:%'), event_time_ns, layer, subject_kind, source, target, relation, producer, kind, ttl_ns, through_ns, payload, boot from bt)"""
