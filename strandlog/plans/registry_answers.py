@@ -10,6 +10,7 @@ from strandlog.operators import fold, log as reads, ranges, spans
 from strandlog.plans import coresidency, extraction, impact, questions as q, scoring, subgraph
 from strandlog.plans.registry import FROM, SEED_HOST, T, TO, _A, _CLAIMS, _DESCRIBE, _PIECES, _SEEN, _SVC, _fold, _islands, _latest, _live, _pods, _single, pieces_of
 from strandlog.sources import fixtures
+from strandlog.staging import staged
 
 DAY = 86_400_000_000_000
 #: A month of the service log.
@@ -158,45 +159,46 @@ def pr2_names(s, d):
     return q.names(fixtures.named(s, d), FROM - DAY)
 
 
+def _found(s, d, name="placements", **rule):
+    """The co-residents of every pod."""
+    def make():
+        log = getattr(fixtures, name)(s, d)
+        return coresidency.find(log, _pods(log), FROM, TO, **rule)
+
+    return fixtures.once(s, d, f"found {name} {rule}", make)
+
+
 def q9_co_residents(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO).entries
+    return _found(s, d).entries
 
 
 def q9_capped(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO, caps=coresidency.Caps(None, None, 2, 5)).entries.select(*coresidency.ENTRY, "place")
+    return _found(s, d, caps=coresidency.Caps(None, None, 2, 5)).entries.select(*coresidency.ENTRY, "place")
 
 
 def q9_dropped(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO, caps=coresidency.Caps(None, None, 2, 5)).dropped
+    return _found(s, d, caps=coresidency.Caps(None, None, 2, 5)).dropped
 
 
 def q9_suppressed(s, d):
     """Overlaps of less than two days that touch no edge of the window."""
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO, min_overlap_ns=2 * DAY).suppressed.select(*coresidency.ENTRY, "duration_ns")
+    return _found(s, d, min_overlap_ns=2 * DAY).suppressed.select(*coresidency.ENTRY, "duration_ns")
 
 
 def q9_unattributed(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO).unattributed
+    return _found(s, d).unattributed
 
 
 def q9_quarantined_hosts(s, d):
-    log = fixtures.hosts(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO).unattributed.filter("reason = 'quarantined_host'")
+    return _found(s, d, "hosts").unattributed.filter("reason = 'quarantined_host'")
 
 
 def q9_seed_hosts(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.find(log, _pods(log), FROM, TO).seed_hosts
+    return _found(s, d).seed_hosts
 
 
 def q9_leg_ends(s, d):
-    log = fixtures.placements(s, d)
-    return coresidency.ends(coresidency.find(log, _pods(log), FROM, TO), TO)
+    return coresidency.ends(_found(s, d), TO)
 
 
 def _service(s, d):
@@ -204,7 +206,7 @@ def _service(s, d):
 
 
 def _context(s, d):
-    return extraction.extract(fixtures.joint(s, d), _service(s, d), FROM, TO)
+    return fixtures.once(s, d, "context", lambda: extraction.extract(fixtures.joint(s, d), _service(s, d), FROM, TO))
 
 
 def q10_members(s, d):
@@ -254,16 +256,20 @@ def _seed_of(s, name):
     return s.createDataFrame([(name,)], "entity string")
 
 
+def _host_walk(s, d):
+    return fixtures.once(s, d, "host walk", lambda: impact.walk(fixtures.placements(s, d), _seed_of(s, SEED_HOST), FROM, TO, max_frontier=None))
+
+
 def q15_blast_radius(s, d):
-    return impact.walk(fixtures.placements(s, d), _seed_of(s, SEED_HOST), FROM, TO, max_frontier=None).spans
+    return _host_walk(s, d).spans
 
 
 def q15_members(s, d):
-    return impact.walk(fixtures.placements(s, d), _seed_of(s, SEED_HOST), FROM, TO, max_frontier=None).members
+    return _host_walk(s, d).members
 
 
 def q15_unattributed(s, d):
-    return impact.walk(fixtures.placements(s, d), _seed_of(s, SEED_HOST), FROM, TO, max_frontier=None).unattributed
+    return _host_walk(s, d).unattributed
 
 
 def _services_walk(s, d, **caps):
@@ -284,36 +290,83 @@ def q15_truncated(s, d):
     return _services_walk(s, d, max_depth=2, max_frontier=3, max_members=10).truncated
 
 
+def _around(s, d):
+    def make():
+        log = fixtures.placements(s, d)
+        return impact.around(log, _pods(log).agg(F.min("entity")).first()[0], FROM, TO, max_frontier=None)
+
+    return fixtures.once(s, d, "around", make)
+
+
 def q16_around(s, d):
-    log = fixtures.placements(s, d)
-    return impact.around(log, _pods(log).agg(F.min("entity")).first()[0], FROM, TO, max_frontier=None)[1].spans
+    return _around(s, d)[1].spans
 
 
 def q16_substrates(s, d):
-    log = fixtures.placements(s, d)
-    return impact.around(log, _pods(log).agg(F.min("entity")).first()[0], FROM, TO, max_frontier=None)[0]
+    return _around(s, d)[0]
 
 
 def _subgraph(s, d):
-    pieces = ranges.edge_pieces(fixtures.placements(s, d), FROM, TO).filter("relation = 'scheduled_on'")
-    numbers = subgraph.dictionary(pieces)
-    return pieces, numbers, subgraph.deltas(pieces, numbers, FROM, TO)
+    def make():
+        pieces = staged(ranges.edge_pieces(fixtures.placements(s, d), FROM, TO).filter("relation = 'scheduled_on'"), "pieces")
+        numbers = staged(subgraph.dictionary(pieces), "dictionary")
+        changes = staged(subgraph.deltas(pieces, numbers, FROM, TO), "deltas")
+        frames = staged(subgraph.keyframes(pieces, numbers, changes, FROM), "keyframes")
+        return pieces, numbers, changes, frames, staged(subgraph.keyframe_elements(pieces, numbers, frames, FROM), "elements")
+
+    return fixtures.once(s, d, "subgraph", make)
 
 
 def q18_subgraph_keyframes(s, d):
-    pieces, numbers, changes = _subgraph(s, d)
-    return subgraph.keyframes(pieces, numbers, changes, FROM)
+    return _subgraph(s, d)[3]
 
 
 def q18_dictionary(s, d):
     return _subgraph(s, d)[1]
 
 
+def q19_scope(s, d):
+    """The subgraph of every tenth node: its elements, each with whether it is one of the scope's own."""
+    log = fixtures.placements(s, d)
+    scope = log.filter("subject_kind = 'entity' and source rlike '^k8s.node:[0-9]*0$'").select(F.col("source").alias("entity")).distinct()
+    pieces, entities, _ = subgraph.read_scope(log, scope, FROM, TO)
+    return pieces.select("subject", "start", "end").unionByName(entities.filter("boundary").select(F.col("entity").alias("subject"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+
+
+def q20_of_co_residency(s, d):
+    return subgraph.from_co_residency(_found(s, d), TO).select("subject", "start", "end", "end_source").distinct()
+
+
+def q20_of_extraction(s, d):
+    return subgraph.from_extraction(_context(s, d), TO).select("subject", "start", "end", "end_source")
+
+
+def q20_of_blast_radius(s, d):
+    return subgraph.from_blast_radius(_host_walk(s, d), TO).select("subject", "start", "end", "end_source")
+
+
 def q22_seek(s, d):
     """The elements present at an instant, from the last keyframe and the changes since."""
-    pieces, numbers, changes = _subgraph(s, d)
-    frames = subgraph.keyframes(pieces, numbers, changes, FROM)
-    return subgraph.seek(subgraph.keyframe_elements(pieces, numbers, frames, FROM), changes, frames, T - FROM).join(numbers, "element").select("subject")
+    _, numbers, changes, frames, elements = _subgraph(s, d)
+    return subgraph.seek(elements, changes, frames, T - FROM).join(numbers, "element").select("subject")
+
+
+def wf3_faults(s, d):
+    pieces, numbers, changes, frames, elements = _subgraph(s, d)
+    return subgraph.faults(pieces, numbers, changes, frames, elements, FROM, TO)
+
+
+def wf4_json_deltas(s, d):
+    _, numbers, changes, frames, elements = _subgraph(s, d)
+    return subgraph.as_json(numbers, changes, frames, elements).filter("section <> 'keyframes'")
+
+
+def pr1_withheld(s, d):
+    """A graph in which hosts stand for addresses: those that the request does not name are gone, with their edges."""
+    log = fixtures.placements(s, d)
+    e = ranges.edge_pieces(log, FROM, TO).filter("relation = 'runs_on'").withColumn("target", F.regexp_replace("target", "^host:", "topo.endpoint:"))
+    kept, counts = subgraph.withheld(e, s.createDataFrame([("topo.endpoint:1",), ("topo.endpoint:2",)], "entity string"))
+    return kept.select("source", "target", F.lit(None).cast("long").alias("entities")).distinct().unionByName(counts.select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), "entities"))
 
 
 def q24_baselines(s, d):
@@ -325,7 +378,7 @@ def q24_baselines(s, d):
     return scoring.case_scores(hop.withColumn("rank", F.lit(1)), reach).select("case", "n", "hits", "truth")
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and k.split("_")[0].rstrip("0123456789") in ("lf", "iv", "ag", "or", "q", "pr") and getattr(f, "__module__", "") == __name__}
+QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and k.split("_")[0].rstrip("0123456789") in ("lf", "iv", "ag", "or", "q", "pr", "wf") and getattr(f, "__module__", "") == __name__}
 
 # -- the same in SQL ------------------------------------------------------------------------------
 _PL, _BT, _SV = "pl as (" + fixtures.in_duckdb(fixtures.PLACEMENTS) + ")", "bt as (" + fixtures.in_duckdb(fixtures.BOOTS) + ")", "sv as (" + fixtures.in_duckdb(fixtures.SERVICES, "o.o_orderdate") + ")"
@@ -537,5 +590,28 @@ select fr.service, pn.service peer, count(*) covered, max(frontier) frontier fro
     "q18_subgraph_keyframes": _FRAME.replace("with ", "with recursive ", 1) + """, kf(i, t, size, since) as (select i, t, size, cast(0 as bigint) from ix where i = 1 union all
 select ix.i, ix.t, ix.size, case when kf.since + ix.n >= greatest(1, ix.size) then 0 else kf.since + ix.n end from kf join ix on ix.i = kf.i + 1) select t "at", cast(size as bigint) size from kf where since = 0 and (i = 1 or true) and exists (select 1 from ix where ix.i = kf.i and (ix.n > 0 or kf.i = 1))""",
     "q18_dictionary": _PIECES + " select subject, row_number() over (order by source, target, relation) - 1 element from (select distinct subject, source, target, relation from ep where relation = 'scheduled_on')",
+    "q19_scope": _PIECES + """, sc as (select distinct source id from a where subject_kind = 'entity' and regexp_matches(source, '^k8s.node:[0-9]*0$')),
+x as (select subject, source, target, "start", "end" from ep where source in (select id from sc) or target in (select id from sc))
+select subject, "start", "end" from x union all select subject, "start", "end" from np where source in (select id from sc) union all select distinct e, null, null from (select source e from x union select target from x) where e not in (select id from sc)""",
+    "q20_of_co_residency": _ENTRIES + f""", kept as (select u.* from u semi join (select * from su where duration_ns >= 1000000000 or edge) x using (seed, mechanism, peer, node, peer_node, via)),
+se as (select seed x, node y from kept union select peer, peer_node from kept union select node, via from kept where mechanism = 'shared_host' union select peer_node, via from kept where mechanism = 'shared_host')
+select concat_ws(' ', seed, peer, node, peer_node, via, 'co_residency.' || mechanism) subject, "start", "end", case when "end" < {TO} then 'reach_ended' end end_source from kept union select distinct subject, "start", "end", end_source from ep join se on se.x = ep.source and se.y = ep.target""",
+    "q20_of_extraction": _CONTEXT + ", " + _islands("fw", "fv", "service, member, peer, mechanism") + f""" select concat_ws(' ', member, peer, 'pair.' || mechanism) subject, "start", "end", case when "end" < {TO} then 'reach_ended' end end_source from fw""",
+    "q20_of_blast_radius": _BLAST + f""", uv as (select member, "start", "end" from ev), """ + _islands("uw", "uv", "member") + f""" select concat_ws(' ', '{SEED_HOST}', member, 'blast_radius.reach') subject, "start", "end", case when "end" < {TO} then 'reach_ended' end end_source from uw""",
+    "wf3_faults": "select * from (values ('deltas', 0), ('keyframes', 0), ('dictionary', 0)) v(rule, n)",
+    "wf4_json_deltas": _PIECES + f""", pc as (select * from ep where relation = 'scheduled_on'), nu as (select subject, row_number() over (order by source, target, relation) - 1 element from (select distinct subject, source, target, relation from pc)),
+o as (select pc.*, element, coalesce(lag(end_source) over (partition by pc.subject order by "start"), 'not_seen_in_window') bf from pc join nu on pc.subject = nu.subject),
+dl as (select "start" - {FROM} t, element, true appear, bf reason from o where "start" > {FROM} union all select "end" - {FROM}, element, false, end_source from o where "end" < {TO})
+select 'dictionary' section, element place, to_json(struct_pack(element := element::varchar, subject := subject)) line from nu
+union all select 'deltas', row_number() over (order by t, element, appear desc), to_json(struct_pack("at" := t::varchar, element := element::varchar, appear := appear, reason := reason)) from dl""",
+    "pr1_withheld": _PIECES + """, x as (select distinct source, 'topo.endpoint:' || split_part(target, ':', 2) target from ep where relation = 'runs_on') select source, target, null entities from x where target in ('topo.endpoint:1', 'topo.endpoint:2') union all select null, null, count(distinct target) from x where target not in ('topo.endpoint:1', 'topo.endpoint:2')""",
+    "q24_baselines": _PIECES + f""", rv as (select distinct target node, source pod from ep where relation = 'scheduled_on'), {_latest('le', "(select * from a where subject_kind = 'edge')", T)}, hp as (select distinct target node, source pod from le where {_live(T)} and target like 'k8s.node:%')
+select coalesce(hp.node, rv.node) "case", count(hp.pod) n, count(case when hp.pod is not null and rv.pod is not null then 1 end) hits, count(rv.pod) truth from hp full join rv on rv.node = hp.node and rv.pod = hp.pod group by 1""",
     "q22_seek": _PIECES + f" select distinct subject from ep where relation = 'scheduled_on' and \"start\" <= {T} and \"end\" > {T}",
 }
+from strandlog.plans.registry import _DIFF  # noqa: E402
+
+ORACLE["or9_capped_lists"] = _DIFF + f""", rk as (select bucket, subject, {_ranked('"start", subject', 'bucket')} from df where bucket is not null)
+select bucket, subject, place, null dropped from rk where place <= 5 union all select bucket, null, null, greatest(count(*) - 5, 0) from rk group by bucket"""
+ORACLE["q6_scoped_diff"] = _DIFF + """, sc as (select distinct source id from a where subject_kind = 'entity' and regexp_matches(source, '^k8s.node:[0-9]*[05]$'))
+select subject, bucket, "transient" from df where (bucket is not null or "transient") and (subject in (select id from sc) or (subject like '% %' and (split_part(subject, ' ', 1) in (select id from sc) or split_part(subject, ' ', 3) in (select id from sc))))"""

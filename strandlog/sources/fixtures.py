@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandlog.operators.order import numbered
 from strandlog.sources import store
-from strandlog.staging import exists, new_path
+from strandlog.staging import exists, new_path, shared_folder
 
 JANUARY_NS, DAY_NS = 1_704_067_200_000_000_000, 86_400_000_000_000
 
@@ -94,6 +94,17 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return store.read(spark, *_kept[key])
 
 
+_once: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """An answer that several queries show parts of: made once per application and folder of tables, while what it has staged is there."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _once or not exists(spark, shared_folder(spark)):
+        _once[key] = make()
+    return _once[key]
+
+
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
 

@@ -1,7 +1,8 @@
 """The log as a folder of Parquet files, laid out for its reads.
 
 Partitioned by layer and kind of subject, and sorted by event time in each file: a read of some layers
-opens only theirs, and one of a window skips row groups by their smallest and largest event time.
+opens only theirs, one of a window skips row groups by their smallest and largest event time, and one of a few
+entities skips those whose Bloom filter has none of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ PARTITIONS = ["layer", "subject_kind"]
 
 def write(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     order = [*PARTITIONS, "event_time_ns", "seq"]
-    log.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
+    log.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#source", "true").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

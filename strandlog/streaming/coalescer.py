@@ -15,31 +15,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RUN = ["seq", "subject", "producer", "event_time_ns", "kind", "ttl_ns", "through_ns", "payload"]
 RUN_SCHEMA = "seq long, subject string, producer string, event_time_ns long, kind string, ttl_ns long, through_ns long, payload string"
-RUN_STATE = "start long, last long, stored long, ttl long, payload string, open boolean"
+RUN_STATE = "start long, last long, stored long, ttl long, payload string, open boolean, prev_start long, prev_last long, prev_ttl long, prev_payload string"
 
 
-def run_step(state: tuple | None, r: dict, fraction: float = 0.5) -> tuple[tuple | None, list[dict]]:
+def run_step(state: tuple | None, r: dict, fraction: float = 0.5, horizon: int = 0, max_age: bool = False) -> tuple[tuple | None, list[dict]]:
     """One record of a (subject, producer) in arrival order -> new state, records to store.
 
-    A refresh within ``fraction`` of the TTL after the stored end is absorbed, a later one extends the
-    run (a record at the run's start with a later ``through_ns``); anything else closes the run with
-    what its stored copy lacks, and starts a new one or, for a delete, none.
+    A state is (start, last, stored, ttl, payload, open, and start, last, ttl and payload of the run before).  A
+    refresh within ``fraction`` of the TTL after the stored end is absorbed, a later one extends the run (a record at
+    the run's start with a later ``through_ns``).  Anything else closes the run with what its stored copy lacks, and
+    starts a new one; a deletion, an assertion without TTL and one that stands for a span end the run as they are.
+    A refresh older than the run is passed on unless the run before it covers it.  With ``max_age`` a run as old as
+    its extension interval is continued by a new one, and a run from before ``horizon`` always is.
     """
-    refresh = r["kind"] == "observe" and r["ttl_ns"] > 0 and r["through_ns"] is None
-    if state is not None and state[5] and refresh:
-        start, last, stored, ttl, payload, _ = state
-        if r["payload"] == payload and r["ttl_ns"] == ttl and last < r["event_time_ns"] <= stored + ttl:
-            last = r["event_time_ns"]
-            if last - stored < fraction * ttl:
-                return (start, last, stored, ttl, payload, True), []
-            return (start, last, last, ttl, payload, True), [{**r, "event_time_ns": start, "through_ns": last}]
+    event, ttl, through = r["event_time_ns"], r["ttl_ns"], r["through_ns"]
+    if r["kind"] != "observe" or ttl == 0 or through is not None:
+        if through is not None and event < horizon:
+            if through < horizon:
+                return state, [dict(r)]  # the store refuses it; no live run ends for it
+            r = {**r, "event_time_ns": horizon}
+        return None, [dict(r)]
+    if state is None or not state[5]:
+        return (event, event, event, ttl, r["payload"], True, None, None, None, None), [dict(r)]
+    start, last, stored, run_ttl, payload, _, *prev = state
+    same = r["payload"] == payload and ttl == run_ttl
+    if event < start:
+        covered = prev[0] is not None and prev[0] <= event <= prev[1] and prev[2] == ttl and prev[3] == r["payload"]
+        return state, [] if covered else [dict(r)]
+    every = int(fraction * run_ttl)
+    if same and event <= last:
+        return state, []
+    fits = same and start >= horizon and event <= last + run_ttl and not (max_age and every > 0 and event - start >= every)
+    if fits:
+        if every > 0 and event - stored < every:
+            return (start, event, stored, run_ttl, payload, True, *prev), []
+        return (start, event, event, run_ttl, payload, True, *prev), [{**r, "event_time_ns": start, "through_ns": event}]
     out = []
-    if state is not None and state[5] and state[1] > state[2] and r["event_time_ns"] > state[1]:
-        start, last, stored, ttl, payload, _ = state
-        out.append({**r, "event_time_ns": start, "kind": "observe", "ttl_ns": ttl, "through_ns": last, "payload": payload})
-    out.append(dict(r))
-    new = (r["event_time_ns"], r["event_time_ns"], r["event_time_ns"], r["ttl_ns"], r["payload"], True) if refresh else None
-    return new, out
+    deadline = stored + run_ttl
+    if deadline < event <= last + run_ttl and event >= horizon:
+        out.append(carried(r, start, last, deadline, run_ttl, payload, horizon))
+    return (event, event, event, ttl, r["payload"], True, start, last, run_ttl, payload), [*out, dict(r)]
+
+
+def carried(r: dict, start: int, last: int, deadline: int, ttl: int, payload: str, horizon: int) -> dict:
+    """The record that carries a run to its last refresh: its extension, or from the horizon on a run of its own."""
+    at = start if start >= horizon else max(min(last, deadline), horizon)
+    return {**r, "event_time_ns": at, "kind": "observe", "ttl_ns": ttl, "through_ns": last if start >= horizon or at < last else None, "payload": payload}
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:
@@ -79,18 +100,42 @@ def coalesce_stream(records: DataFrame, fraction: float = 0.5) -> DataFrame:
                 held, made = run_step(held, r, fraction)
                 out += made
             yield _frame(out)
-        state.update(held if held is not None else (0, 0, 0, 0, "", False))
+        state.update(held if held is not None else (0, 0, 0, 0, "", False, None, None, None, None))
 
     return records.select(*RUN).groupBy("subject", "producer").applyInPandasWithState(run, RUN_SCHEMA, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def flushable(stored: DataFrame, now_ns: int, ahead_ns: int = 60_000_000_000) -> DataFrame:
+FLUSH_AHEAD_NS = 60_000_000_000
+
+
+def extension_ns(ttl, fraction: float = 0.5):
+    """How long after its last stored refresh a run may be refreshed without a new record; also its greatest age, where runs have one."""
+    return F.floor(ttl * F.lit(fraction)).cast("long")
+
+
+def flushable(runs: DataFrame, now_ns: int, ahead_ns: int = FLUSH_AHEAD_NS) -> DataFrame:
     """Runs (subject, producer, start, last, stored, ttl) whose stored copy lapses within ``ahead_ns`` while more was seen."""
-    return stored.filter((F.col("last") > F.col("stored")) & (F.col("stored") + F.col("ttl") <= now_ns + ahead_ns))
+    return runs.filter((F.col("last") > F.col("stored")) & (F.col("stored") + F.col("ttl") <= now_ns + ahead_ns))
+
+
+def flushed(runs: DataFrame, now_ns: int, ahead_ns: int = FLUSH_AHEAD_NS) -> DataFrame:
+    """(subject, producer, event_time_ns, through_ns, ttl_ns): the records that carry those runs to their last refresh."""
+    return flushable(runs, now_ns, ahead_ns).select("subject", "producer", F.col("start").alias("event_time_ns"), F.col("last").alias("through_ns"), F.col("ttl").alias("ttl_ns"))
 
 
-def counter_step(state: tuple | None, start: int, time: int, value: float, idle_ns: int, warm: bool) -> tuple[tuple | None, bool]:
-    """(state, sighting) for a cumulative point; state is (start, value, last point, last increase)."""
+def prunable(runs: DataFrame, now_ns: int, horizon_ns: int = 0) -> DataFrame:
+    """Runs that may be forgotten: past their own deadline, with nothing absorbed that a flush has still to write."""
+    unwritten = (F.col("last") > F.col("stored")) & (F.col("last") >= horizon_ns)
+    return runs.filter((F.col("last") + F.col("ttl") < now_ns) & ~unwritten)
+
+
+def counter_step(state: tuple | None, start: int, time: int, value: float, idle_ns: int, warm: bool, evict_ns: int | None = None) -> tuple[tuple | None, bool]:
+    """(state, sighting) for a cumulative point; state is (start, value, last point, last increase).
+
+    A state whose last point lies more than ``evict_ns`` back is as good as none.
+    """
+    if state is not None and evict_ns is not None and time - state[2] > evict_ns:
+        state = None
     if state is None:
         return (start, value, time, time), bool(warm and value > 0)
     s_start, s_value, s_time, s_up = state
@@ -105,7 +150,20 @@ def counter_step(state: tuple | None, start: int, time: int, value: float, idle_
     return (start, value, time, time if seen else s_up), seen
 
 
-def counter_sightings(points: DataFrame, idle_ns: int = 930_000_000_000, warm_from: int | None = None) -> DataFrame:
+#: The longest that a series is kept without an update, and the flushes after which it is forgotten.
+IDLE_NS, FLUSH_NS = 930_000_000_000, 15_000_000_000
+
+
+def _counted(rows, state, idle_ns, warm_from, evict_ns):
+    out = []
+    for start, time, value in rows:
+        state, seen = counter_step(state, start, time, value, idle_ns, warm_from is not None and time >= warm_from, evict_ns)
+        if seen:
+            out.append(time)
+    return state, out
+
+
+def counter_sightings(points: DataFrame, idle_ns: int = IDLE_NS, warm_from: int | None = None, evict_ns: int | None = IDLE_NS + 2 * FLUSH_NS) -> DataFrame:
     """(series, time_ns): points that prove a call. points: (series, temporality, start_ns, time_ns, value).
 
     Delta points above zero are sightings; cumulative ones go through ``counter_step`` per series.
@@ -114,17 +172,34 @@ def counter_sightings(points: DataFrame, idle_ns: int = 930_000_000_000, warm_fr
     delta = points.filter("temporality = 'delta' and value > 0").select("series", "time_ns")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for start, time, value in pdf.sort_values(["time_ns", "start_ns"])[["start_ns", "time_ns", "value"]].itertuples(index=False):
-            state, seen = counter_step(state, start, time, value, idle_ns, warm_from is not None and time >= warm_from)
-            if seen:
-                out.append((pdf["series"].iloc[0], time))
-        return pd.DataFrame(out, columns=["series", "time_ns"])
+        rows = pdf.sort_values(["time_ns", "start_ns"])[["start_ns", "time_ns", "value"]].itertuples(index=False)
+        _, seen = _counted(rows, None, idle_ns, warm_from, evict_ns)
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(seen), "time_ns": seen}).astype({"series": "object", "time_ns": "int64"})
 
     cumulative = points.filter("temporality = 'cumulative'").groupBy("series").applyInPandas(run, "series string, time_ns long")
     return delta.unionByName(cumulative)
 
 
+def counter_stream(points: DataFrame, idle_ns: int = IDLE_NS, warm_from: int | None = None, evict_ns: int | None = IDLE_NS + 2 * FLUSH_NS) -> DataFrame:
+    """The same over a stream of cumulative points; a series' state is dropped once it is idle for longer than ``evict_ns`` by the clock."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = tuple(state.get) if state.exists else None
+        for pdf in frames:
+            rows = pdf.sort_values(["time_ns", "start_ns"])[["start_ns", "time_ns", "value"]].itertuples(index=False)
+            held, seen = _counted(rows, held, idle_ns, warm_from, evict_ns)
+            yield pd.DataFrame({"series": [key[0]] * len(seen), "time_ns": seen}).astype({"series": "object", "time_ns": "int64"})
+        if held is not None:
+            state.update(held)
+            state.setTimeoutDuration(max(1, (evict_ns or IDLE_NS) // 1_000_000))
+
+    cumulative = points.filter("temporality = 'cumulative'").select("series", "start_ns", "time_ns", "value")
+    return cumulative.groupBy("series").applyInPandasWithState(run, "series string, time_ns long", "start long, value double, last long, up long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def partial_success(records: DataFrame, bad, unit: str = "log_id") -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected records: a unit (log record or request) with one bad record is rejected whole."""
     marked = records.withColumn("_bad", F.max(F.when(bad, 1).otherwise(0)).over(Window.partitionBy(unit)))
@@ -138,21 +213,3 @@ def sink(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
-
-
-def cluster_conflicts(sightings: DataFrame) -> DataFrame:
-    """Clusters under whose name two uids were alive at once. sightings: (cluster, uid, start, end)."""
-    from strandlog.operators.spans import ambiguous
-
-    return ambiguous(sightings, ["cluster"], "uid").select("cluster", "start", "end")
-
-
-def pull_gaps(pulls: DataFrame, by: list[str], interval_ns: int) -> DataFrame:
-    """Generations more than one and a half intervals after the one before."""
-    w = Window.partitionBy(*by).orderBy("at")
-    return pulls.withColumn("gap", F.col("at") - F.lag("at").over(w)).filter(F.col("gap") * 2 > 3 * interval_ns)
-
-
-def silent(pulls: DataFrame, by: list[str], now_ns: int, interval_ns: int) -> DataFrame:
-    """Keys not heard of for more than three intervals."""
-    return pulls.groupBy(*by).agg(F.max("at").alias("last")).filter(now_ns - F.col("last") > 3 * interval_ns)
