@@ -10,10 +10,14 @@ import pyarrow as pa
 import pytest
 
 from strandlog.llm import mixing, near_dup, topk, warc
+from strandlog.llm.common import join_one
 from strandlog.llm.oracle import ORACLE
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("block, chunk, head", [(2048, 64 << 20, 16), (7, 2000, 4)])
+def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk, head):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("HEAD", head)):
+        monkeypatch.setattr(topk, name, value)
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(300, 24)) * rnd.uniform(0.1, 3, size=(300, 1))
     x[50:80] = x[50]  # ties
@@ -106,6 +110,71 @@ def test_banded_alignment_equals_plain():
         assert near_dup.edit_within(np.array(a, np.uint64), np.array(b, np.uint64), most) == (plain_distance(a, b) <= most)
 
 
+def test_banded_alignment_of_long_sequences(monkeypatch):
+    rnd = random.Random(8)
+    monkeypatch.setattr(near_dup, "MASKS", 1)  # as for sequences whose places do not fit at once
+    for case in range(150):
+        a = [rnd.randint(0, 3 if case % 2 else 40) for _ in range(rnd.randint(30, 120))]
+        b = edited(rnd, a, rnd.randint(0, 20)) if case % 5 else [rnd.randint(0, 3) for _ in range(60)]
+        b = [x if isinstance(x, int) else 99 for x in b] or [1]
+        d, band = plain_distance(a, b), rnd.randint(0, 60)
+        got = near_dup.banded_distance(a, b, band)
+        assert got == d if d <= band else got > band
+
+
+def every_link(texts, similarity=0.8):
+    """Pairs of all texts whose words align, each pair compared."""
+    numbers: dict[str, int] = {}
+    rows = [np.array([numbers.setdefault(w, len(numbers)) for w in t], np.uint64) for t in texts]
+    return {(i, j) for i in range(len(rows)) for j in range(i) if near_dup.edit_within(rows[i], rows[j], int(max(len(rows[i]), len(rows[j])) * (1 - similarity) + 1e-9))}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Texts with edits spread evenly, at levels up to the operator's own threshold; copies of copies; one vocabulary."""
+    rnd = random.Random(21)
+    texts, made, level = [], {}, {}
+    for g in range(168):
+        words = [f"w{int(rnd.paretovariate(0.6)) % 3000}" for _ in range(rnd.choice([40, 100, 300]))]
+        i = len(texts)
+        texts.append(words)
+        share = (0.05, 0.10, 0.14, 0.18)[g % 4]
+        for _ in range(1 + g % 2):
+            at = set(rnd.sample(range(len(words)), int(share * len(words))))
+            made[len(texts)], level[len(texts)] = i, share
+            texts.append([f"new{rnd.random()}" if k in at else w for k, w in enumerate(words)])
+    links = every_link(texts)
+    root = list(range(len(texts)))
+    for _ in range(5):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert all(root[out[i]] == root[i] for i in out)  # nothing is joined that no links join
+    for share in sorted(set(level.values())):
+        own = [(i, j) for i, j in links if level.get(i) == share]
+        found = sum(out[i] == out[j] for i, j in own)
+        assert len(own) >= 40 and found >= 0.9 * len(own), (share, found, len(own))
+    again = near_dup.near_duplicates(docs.repartition(13, "text")).collect()
+    assert {r.doc_id: r.class_id for r in again} == out
+
+
+def test_near_duplicates_ids_of_any_kind(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [("b", words, 1), ("a", words + " x", 2), ("a", words, 3), ("c", "other words only", 4), (None, words, 5), (None, "x y z", 6)]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, digest int"), digest_col="hex").collect()
+    assert {r.class_id for r in out if r.hex in {hashlib.sha256(t.encode()).hexdigest() for t in (words, words + " x")}} == {"a"}
+    assert sum(r.is_first for r in out) == 3 and sum(r.is_first for r in out if r.doc_id == "a") == 1
+
+
+def test_join_of_hot_keys(spark, tmp_path):
+    rnd = random.Random(1)
+    left = [(k, 0 if k % 3 else rnd.randint(0, 50)) for k in range(3000)]
+    spark.createDataFrame(left, "node long, other long").write.parquet(str(tmp_path / "left"))
+    right = spark.createDataFrame([(k, k * 7) for k in range(40)], "other long, root long")
+    got = join_one(spark.read.parquet(str(tmp_path / "left")), right, "other").select("node", "other", "root").collect()
+    assert {tuple(r) for r in got} == {(n, k, k * 7) for n, k in left if k < 40} and len(got) == sum(k < 40 for _, k in left)
+
+
 def test_near_duplicates_find_planted_groups(spark, odd_docs):
     rnd = random.Random(9)
     rows, group = [], {}
@@ -202,6 +271,15 @@ def test_warc_ranges_own_each_record_once(width):
     assert found == bodies
 
 
+def test_warc_passes_over_nothing():
+    made = [warc.member("response", k, "u", b"body" * 50, "0", 200, None) for k in range(4)]
+    read = lambda data, a=0: [b for _, b in warc.records_in(File(data), a, len(data))]
+    assert len(read(b"".join(made))) == 4
+    for bad in (b"".join(made)[:-3], made[0] + b"junk" + made[1], made[0] + made[1][:40] + made[2], b"".join(made) + b"\0"):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
 @pytest.mark.parametrize("width", [1000, 70_000, 1 << 23])
 def test_warc_headers_of_any_length(width):
     rnd = random.Random(width)

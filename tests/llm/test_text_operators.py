@@ -1,14 +1,18 @@
 import hashlib
+import math
 import random
 import re
-from collections import Counter
+import struct
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandlog.llm import bpe, langid, line_dedup, quality, queries, token_counts, toxicity
 from tests.llm.conftest import DOCS
@@ -67,6 +71,49 @@ def test_token_counts_by_hand(rule):
         assert crosses[k] == (not any(s <= a and b <= e for s, e in sections) and max(parts) > 0)
 
 
+def test_token_counts_row_by_row(spark, odd_docs):
+    docs = odd_docs.filter("coalesce(length(text), 0) < 10000")
+    out = token_counts.count_tokens(docs, PATH, PATTERN).collect()
+    want = Counter()
+    for r in docs.collect():
+        text = r.text or ""
+        at, spans = 0, []
+        for token in LIBRARY.encode_ordinary(text):
+            raw = LIBRARY.decode_single_token_bytes(token)
+            spans.append((at, at + len(raw)))
+            at += len(raw)
+        data = text.encode()
+        char = lambda b: len(data[:b].decode(errors="ignore"))  # noqa: E731, B023
+        counts = Counter()
+        for a, b in spans:
+            first = char(a)  # a token that starts inside a character counts from that character
+            last = next(k for k in range(first, len(text)) if len(text[: k + 1].encode()) >= b)
+            counts[text.count("\n", 0, first)] += 1
+            counts["cut", text.count("\n", 0, first)] += text.count("\n", 0, first) != text.count("\n", 0, last)
+        lines, start = text.split("\n"), 0
+        if lines[-1] == "":
+            lines.pop()
+        for k, x in enumerate(lines):
+            end = min(len(text), start + len(x) + 1)
+            want[r.doc_id, k, start, end, counts[k], counts["cut", k]] += 1
+            start = end
+        if not lines:
+            want[r.doc_id, -1, 0, 0, 0, 0] += 1
+    assert Counter(tuple(r) for r in out) == want
+
+
+def test_token_counts_of_odd_sections(spark):
+    text = "one two three four five six"
+    given = [{"start": 10, "end": 20}, None, {"start": 4, "end": 14}, {"start": None, "end": 3}, {"start": 9, "end": 2}, {"start": 24, "end": 99}, {"start": 24, "end": 99}]
+    assert token_counts.disjoint(given) == [(10, 20), (0, 0), (4, 10), (0, 0), (9, 9), (24, 24), (24, 99)]
+    docs = spark.createDataFrame([("a", text, given), ("b", None, None), ("c", text, [])], "section_id string, text string, parts array<struct<start:int,end:int>>")
+    out = token_counts.count_tokens(docs, PATH, PATTERN, id_col="section_id", sections_col="parts").collect()
+    assert sum(r.n_tokens for r in out if r.section_id == "a") == len(TOK.encode(text)) and len([r for r in out if r.section_id == "a"]) == 8
+    assert [(r.section, r.n_tokens) for r in out if r.section_id == "b"] == [(-1, 0)] and [r.section for r in out if r.section_id == "c"] == [-1]
+    with pytest.raises(ValueError, match="section"):
+        token_counts.count_tokens(docs.withColumnRenamed("section_id", "section"), PATH, PATTERN, id_col="section")
+
+
 def test_token_counts_add_up(spark, odd_docs):
     out = token_counts.count_tokens(odd_docs, PATH, PATTERN).groupBy("doc_id").sum("n_tokens").collect()
     want = Counter()
@@ -77,22 +124,27 @@ def test_token_counts_add_up(spark, odd_docs):
 
 
 def plain_dedup(rows):
-    """The rule of line dedup, one text after the other."""
-    seen, out = {}, []
+    """The rule of line dedup, one text after the other: neighbouring lines, and single lines of 50 words or more."""
+    def pieces(lines):
+        own = [k for k, x in enumerate(lines) if x.strip()]
+        yield from ((a, b + 1) for a, b in zip(own, own[1:]))
+        yield from ((k, k + 1) for k in own if len(lines[k].split()) >= 50)
+
+    seen, out = set(), []
     for _, text in rows:
-        for a, b, own in line_dedup.chunks(text):
-            seen.setdefault(own, (_, a))
-    for i, text in rows:
-        if text is None:
-            out.append(None)
-            continue
-        lines = text.split("\n")
-        drop = {k for a, b, own in line_dedup.chunks(text) if seen[own] != (i, a) for k in range(a, b)}
-        out.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+        lines = (text or "").split("\n")
+        drop = set()
+        for a, b in sorted(pieces(lines)):
+            if (piece := "\n".join(lines[a:b])) in seen:
+                drop |= set(range(a, b))
+            seen.add(piece)
+        out.append(None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in drop))
     return out
 
 
-def test_line_dedup_equals_plain(spark):
+@pytest.mark.parametrize("spread", [4096, 3])
+def test_line_dedup_equals_plain(spark, monkeypatch, spread):
+    monkeypatch.setattr(line_dedup, "SPREAD", spread)
     rnd = random.Random(2)
     lines = [" ".join(rnd.choice(["aa", "bb", "cc", "dd"]) for _ in range(rnd.choice([3, 9, 60]))) for _ in range(60)]
     passage = [f"passage line {k} here" for k in range(12)]
@@ -154,6 +206,47 @@ def base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_counts_windows_of_equal_hash(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 400)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.split("text", " ")).withColumn("hashes", quality.hashed(F.col("words")))
+    for low in (1 << 24, 1 << 61, 1 << 63):  # 40, 3 and no bits of the hashes
+        monkeypatch.setattr(quality, "_LOW", low - 1)
+        monkeypatch.setattr(quality, "_LONG", (1 << 31) - 1)
+        got = {r.doc_id: r.n_repeat_words for r in quality.repeated_words(docs).collect()}
+        assert got == {i: base(t)[4] for i, t in rows}
+
+
+def spark_hash(x, seed=42):
+    """Spark's xxhash64 of a string or a long."""
+    n = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed % (1 << 64))
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def test_quality_equals_plain_ratios(spark):
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rnd.choice(words[: 10 if i % 3 else 40]) for _ in range(rnd.randint(0, 90)))) for i in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good, buckets = {i for i in range(60) if i % 3}, 64
+    out = quality.judge(docs, quality.ratios(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), buckets=buckets), buckets=buckets, threshold=0.01).collect()
+
+    def cells(text):
+        h = [spark_hash(w) for w in (text or "").split()]
+        return [x % buckets for x in h] + [(spark_hash(y, spark_hash(x)) if y is not None else spark_hash(x)) % buckets for x, y in zip(h, h[1:] + [None])][: len(h)]
+
+    every = Counter(c for _, t in rows for c in cells(t))
+    trusted = Counter(c for i, t in rows if i in good for c in cells(t))
+    ratio = {c: round((math.log((trusted[c] + 0.5) / (trusted.total() + 0.5 * buckets)) - math.log((n + 0.5) / (every.total() + 0.5 * buckets))) * (1 << 20)) for c, n in every.items()}
+    for r in out:
+        text = dict(rows)[r.doc_id]
+        own = cells(text)
+        want = sum(ratio[c] for c in own) / len(own) / (1 << 20) if own else 0.0
+        assert abs(r.llr - want) < 2e-6
+        assert r.kept == (not r.base_failed and r.llr >= 0.01)
+    assert {r.kept for r in out if not r.base_failed} == {True, False}
+
+
 def test_quality_counts_and_ratios(spark, odd_docs):
     rnd = random.Random(4)
     good, junk = ["the", "cat", "sat", "on", "a", "mat"], ["#x", "$y", "z%", "q|"]
@@ -181,10 +274,9 @@ def test_language_is_proper_and_learns(spark, odd_docs):
     assert model.langs == ["en", "fr"]
     out = langid.identify(docs.withColumn("held_out", langid.held_out("doc_id")), model).collect()
     assert all(r.lang_pred == r.lang and 0.5 <= r.score <= 1 for r in out) and any(r.held_out for r in out)
-    table = langid.Scorer(model)
-    p = np.exp2(-table.cost.astype(float)).reshape(-1, table.classes, 2)
-    seen = table.classes - 2
-    assert np.allclose(p[:, 2:].sum(1) + (256 - seen) * p[:, 0], 1, atol=1e-3)  # a distribution in every context
+    for tree in langid.Scorer(model).trees:  # a distribution in every context
+        for context in [*tree.contexts[3][::50], *tree.contexts[2][::20], 0]:
+            assert abs(np.exp2(-tree.lengths(context * langid.BASE + np.arange(256))).sum() - 1) < 1e-9
     odd = {r.doc_id: r for r in langid.identify(odd_docs.select("doc_id", "text", "score"), model).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (3, 4, 6, 8)) and odd[9].lang_pred == "fr"
     none = langid.train(docs.limit(0))
@@ -198,6 +290,48 @@ def test_language_leaves_none_out(spark):
         langid.train(docs, max_langs=2)
 
 
+def plain_ppm(train, text, min_count):
+    """Code length of a text by a plain coder: escape method C with exclusion over contexts of 3 to 0 bytes."""
+    seen = defaultdict(Counter)
+    for t in train:
+        x = [256] * 3 + list(t)
+        for i in range(3, len(x)):
+            for k in range(4):
+                seen[tuple(x[i - k : i])][x[i]] += 1
+    for c in [c for c in seen if len(c) == 3 and seen[c].total() < min_count]:
+        del seen[c]
+    x, bits = [256] * 3 + list(text), 0.0
+    for i in range(3, len(x)):
+        tried, p, k = set(), 1.0, next(k for k in (3, 2, 1, 0) if k == 0 or tuple(x[i - k : i]) in seen)
+        while k >= 0:
+            left = {a: n for a, n in seen[tuple(x[i - k : i])].items() if a not in tried}
+            n, d = sum(left.values()), len(left)
+            if x[i] in left:
+                p *= left[x[i]] / (n + d)
+                break
+            if n:
+                p *= d / (n + d)
+            tried |= set(left)
+            k -= 1
+        else:
+            p /= 256 - len(tried)
+        bits -= math.log2(p)
+    return bits
+
+
+def test_language_equals_plain_coder(monkeypatch):
+    rnd = random.Random(3)
+    monkeypatch.setattr(langid, "ROOM", 2000)  # most windows are not kept
+    for _ in range(20):
+        letters = rnd.choice(["ab ", "abcde éß", "xyz日本語 "])
+        mk = lambda n: "".join(rnd.choice(letters) for _ in range(n)).encode()  # noqa: E731, B023
+        train, least = [mk(rnd.randint(0, 60)) for _ in range(rnd.randint(1, 5))], rnd.choice([1, 2, 3])
+        table = langid.Scorer(langid.Model(["x"], *([x] for x in langid._grams([t.decode() for t in train])), least))
+        texts = [mk(rnd.randint(0, 40)) + rnd.choice([b"", b"Q", "ü".encode()]) for _ in range(6)]
+        for _ in range(2):
+            assert np.allclose(table.bits(texts)[:, 0], [plain_ppm(train, t, least) for t in texts], atol=1e-6)
+
+
 def test_language_long_text_in_pieces(monkeypatch):
     g, n = langid._grams(["abc abd abe"] * 3)
     table = langid.Scorer(langid.Model(["x"], [g], [n]))
@@ -208,6 +342,52 @@ def test_language_long_text_in_pieces(monkeypatch):
     assert np.allclose(table.bits([texts[2]])[0], whole[2])
 
 
+def test_toxicity_fit_is_the_optimum():
+    """At the fitted weights the slope of the plain likelihood is what the L1 penalty allows."""
+    rnd = random.Random(2)
+    rows, grades = [], []
+    for i in range(300):
+        grade = rnd.choice([0, 0, 0, 1, 2, 3])
+        rows.append(np.unique([rnd.randint(0, 30) for _ in range(6)] + [100 + rnd.randint(0, 3) for _ in range(grade)]))
+        grades.append(grade)
+    grades, l1 = np.array(grades), 2e-3
+    model = toxicity.fit(rows, grades, l1=l1, steps=4000)
+
+    def loss(theta, weights):
+        total = 0.0
+        for x, y in zip(rows, grades):
+            s = [1.0] + [1 / (1 + math.exp(t - sum(weights.get(int(f), 0.0) for f in x))) for t in theta] + [0.0]
+            total -= math.log(s[y] - s[y + 1])
+        return total / len(rows)
+
+    at, eps = loss(model.theta, model.weights), 1e-5
+    assert model.theta == sorted(model.theta) and at < loss([math.log(1 / p - 1) for p in [(grades >= k).mean() for k in (1, 2, 3)]], {})
+    for k in range(3):
+        assert abs(loss([t + eps * (j == k) for j, t in enumerate(model.theta)], model.weights) - at) / eps < 2e-3
+    for f in {int(x) for r in rows for x in r}:
+        w = model.weights.get(f, 0.0)
+        slope = (loss(model.theta, model.weights | {f: w + eps}) - at) / eps
+        assert abs(slope) <= l1 + 1e-3 if w == 0 else abs(slope + math.copysign(l1, w)) < 1e-3
+    assert all(model.weights.get(100 + k, 0) > 0.3 for k in range(4))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = toxicity.train(docs, labels.filter(half))
+    real = {r.doc_id: r.toxic for r in labels.filter(~half).collect()}
+    said = {r.doc_id: int(r.toxic) for r in toxicity.score(docs.select("doc_id", "text"), model).collect() if r.doc_id in real}
+    hits, named = sum(said[i] and real[i] for i in said), sum(said.values())
+    assert named and hits / named > 0.7 and sum(said[i] and not real[i] for i in said) < 0.03 * len(said)
+
+
+def test_toxicity_one_document_an_id(spark):
+    rows = [(1, f"text {k} vile") for k in range(50)] + [(2, "good words")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows + [(None, "x"), (4, None)], "doc_id long, text string"), labels)
+    assert model.theta == sorted(model.theta)
+
+
 def test_toxicity_orders_and_flags(spark, odd_docs):
     rnd = random.Random(8)
     bad, good = [f"vile{k}" for k in "abcdef"], [f"word{k}" for k in "abcdefghijklmn"]
