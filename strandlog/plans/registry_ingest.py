@@ -199,12 +199,12 @@ def sm21_newest_of_others(s, d):
 
 def sm22_pull_gaps(s, d):
     e = _events(s, d).select("event_type", F.col("ns").alias("at"))
-    return operate.pull_gaps(e, ["event_type"], 2 * HOUR)
+    return operate.pull_gaps(e, ["event_type"], HOUR // 3)
 
 
 def sm23_silent(s, d):
     e = _events(s, d).select("user_id", F.col("ns").alias("at"))
-    return operate.silent(e.filter(F.col("at") < T), ["user_id"], T, DAY)
+    return operate.silent(e.filter(F.col("at") < T), ["user_id"], T, HOUR)
 
 
 def sm24_fates(s, d):
@@ -286,8 +286,8 @@ sp as (select address, holder, "start", "end" from h where not del and "start" <
     "sm19_shared_names": f"""with {_EV}, g as (select 'c' || (user_id % 20) c, cast(user_id % 3 as varchar) u, arg_max(event_type = 'error', (ns, event_type = 'error')) del, max(ns) t from e where ns <= {T} group by all), al as (select * from g where not del and t + {DAY} > {T})
 select 'refused' what, c "key", count(distinct u) n from al group by c having count(distinct u) > 1 union all select 'noted', u, count(distinct c) from al group by u having count(distinct c) > 1""",
     "sm21_newest_of_others": f"with {_A} select max(event_time_ns) newest_ns from a where producer <> 'p1'",
-    "sm22_pull_gaps": f"""with {_EV}, g as (select distinct event_type, ns "at" from e), l as (select *, "at" - lag("at") over (partition by event_type order by "at") gap from g) select * from l where gap * 2 > {6 * HOUR}""",
-    "sm23_silent": f"""with {_EV} select user_id, max(ns) "last" from e where ns < {T} group by 1 having {T} - max(ns) > {3 * DAY}""",
+    "sm22_pull_gaps": f"""with {_EV}, g as (select distinct event_type, ns "at" from e), l as (select *, "at" - lag("at") over (partition by event_type order by "at") gap from g) select * from l where gap * 2 > {HOUR}""",
+    "sm23_silent": f"""with {_EV} select user_id, max(ns) "last" from e where ns < {T} group by 1 having {T} - max(ns) > {3 * HOUR}""",
     "sm24_fates": """select case when event_type = 'signup' then 'legacy entity event' when event_type = 'purchase' then 'not an entity event' when event_type = 'view' then 'not a host' when event_type = 'error' then 'host delete' when user_id % 2 = 0 then 'no host id' else 'host' end fate, count(*) n from events group by 1""",
     "sm1_committed": f"with {_A} select count(*) records, 1 \"first\", count(*) \"last\", count(*) seqs from a",
 }

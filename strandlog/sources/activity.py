@@ -137,7 +137,7 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"generation {generation} starts after {after}, not {upto}")
     if not chain:
         raise ValueError("no generation is committed")
-    raw = spark.read.parquet(*[f"{path}/files/generation={g}" for g, _, _ in chain])
+    raw = spark.read.option("basePath", f"{path}/files").parquet(*[f"{path}/files/generation={g}" for g, _, _ in chain])
     found = raw.groupBy(F.col("class")).agg(F.count(F.lit(1)).alias("n"))
     wrong = said.groupBy("class").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records")).filter("class is not null").join(found, "class", "full").filter("not records <=> n").limit(1).collect()
     if wrong:

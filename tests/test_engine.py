@@ -162,7 +162,90 @@ def test_subgraph_codec_and_seek(spark):
 
 
 def test_service_blast_radius_goes_to_its_end(spark):
-    from strandlog.plans.registry import QUERIES
+    from strandlog.plans.all_queries import QUERIES
 
     rows = QUERIES["q15_blast_radius_services"](spark, "/root/testdata/sf0.001").collect()
     assert {r.depth for r in rows} == {1, 2, 3, 4}  # nothing new is reached at depths 5 and 6
+
+
+def test_windows_need_no_history(spark):
+    """What is folded for a window is its seeds and its own records, and answers are those of the whole log."""
+    from strandlog.operators import checkpoints, ranges
+
+    rows = random_log(random.Random(15), subjects=30, n=14)
+    log = spark.createDataFrame(rows, LOG)
+    whole = ranges.clip(fold.existence(log.filter(F.col("event_time_ns") < 30)), 15, 30)
+    key = lambda df: {(r.subject, r.start, r.end, r.before, r.end_source) for r in df.collect()}
+    assert key(ranges.entity_pieces(log, 15, 30)) == key(whole)
+    last = reads.last_seq(log)
+    for at, through in ((10, last), (10, last // 2), (15, last // 3), (40, last)):
+        points = checkpoints.checkpoint(log, at, through)
+        got = {(r.seq, r.part) for r in checkpoints.window_since(log, points, 15, 30, last).collect()}
+        assert got == {(r.seq, r.part) for r in reads.window_since(log.drop("payload"), 15, 30).collect()}
+    with pytest.raises(reads.BeforeHorizon):
+        ranges.entity_pieces(log, 15, 30, horizons={"L2": (16, 0)})
+    assert not checkpoints.due(log, checkpoints.checkpoint(log, 10, last), 10**18)
+
+
+def test_scans_are_pruned(spark):
+    from strandlog.sources import fixtures
+
+    log = fixtures.placements(spark, "/root/testdata/sf0.001")
+    q = log.filter("layer = 'L1' and subject_kind = 'edge' and event_time_ns >= 1704844800000000000 and seq <= 500").select("source")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "layer" in plan.split("PartitionFilters:")[1].split("]")[0] and "GreaterThanOrEqual(event_time_ns" in plan.split("PushedFilters:")[1].split("]")[0]
+    assert "payload" not in plan.split("ReadSchema:")[1]
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from strandlog.operators.order import numbered
+
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(500)], "k int, i int").repartition(7)
+    rows = numbered(df, ["k", "i"], "n", 10).collect()
+    assert [(r.k, r.i) for r in sorted(rows, key=lambda r: r.n)] == sorted((r.k, r.i) for r in rows)
+    assert sorted(r.n for r in rows) == list(range(11, 511))
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
+    plan = numbered(df, ["k"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_quarantined_hosts_are_shown(spark):
+    from strandlog.plans import questions
+
+    rows = [(k + 1, t, "L1", "entity", "host:1", None, None, "n", "observe", 0, None, None, b) for k, (t, b) in enumerate([(0, "a"), (5, "b"), (9, "a")])]
+    log = spark.createDataFrame(rows, LOG + ", boot string")
+    with pytest.raises(reads.Quarantined):
+        reads.alive(log, ["host:1"], 7)
+    assert [r.alive for r in reads.alive(log.filter("boot = 'a'"), ["host:1"], 7).collect()] == [True]
+    assert questions.existence_of(log, spark.createDataFrame([("host:1",), ("host:2",)], "entity string"), 7).collect()[0].existence in ("quarantined", "not_alive")
+
+
+def test_descriptions_before_the_horizon_are_refused(spark):
+    from strandlog.plans import questions
+
+    log = spark.createDataFrame([(1, 5, "L2", "entity", "k8s.pod:1", None, None, "p", "observe", 0, None, b"{}")], LOG)
+    assert questions.descriptions(log, 10, 20, horizons={"L2": 4}).count() == 1
+    with pytest.raises(questions.Retained):
+        questions.descriptions(log, 10, 20, horizons={"L2": 8})
+
+
+def test_names_are_those_of_the_type(spark):
+    from strandlog.functions.text import payload_name, payload_namespace, shown_payload
+
+    rows = [('{"k8s.node.name":"n","k8s.pod.name":"p"}',), ('{"name":7,"k8s.pod.name":"p"}',), ('{"name":"a\\u200bb"}',), ("junk",), (None,), ('{"name":"","k8s.pod.name":"q","namespace":"s"}',)]
+    df = spark.createDataFrame(rows, "p string").select(F.col("p").cast("binary").alias("p"))
+    got = df.select(payload_name(F.col("p"), "k8s.pod").alias("n"), payload_namespace(F.col("p"), "k8s.pod").alias("s"), payload_name(F.col("p"), "host").alias("h"), shown_payload(F.col("p"), "k8s.node").alias("x")).collect()
+    assert [r.n for r in got] == ["p", "p", "a\u200bb", None, None, "q"] and got[5].s == "s" and all(r.h is None for r in got)
+    assert got[0].x.shown == '{"k8s.node.name":"n"}' and got[0].x.withheld == "k8s.pod.name"
+    assert got[2].x.withheld == "name" and got[3].x.shown == "{}"
+
+
+def test_cache_keys_and_json(spark):
+    from strandlog.plans import subgraph
+
+    key = subgraph.cache_key("scope", ["a", "b"], {"x": 1, "y": 2}, 7, 0, 9)
+    assert key == subgraph.cache_key("scope", ["a", "b"], {"y": 2, "x": 1}, 7, 0, 9)
+    assert len({key, subgraph.cache_key("scope", ["b", "a"], {"x": 1, "y": 2}, 7, 0, 9), subgraph.cache_key("scope", ["a", "b"], {"x": 1, "y": 2}, 8, 0, 9)}) == 3
+    assert len(subgraph.catalog_digest()) == 64
+    with pytest.raises(ValueError):
+        subgraph.read_scope(spark.createDataFrame([], LOG), spark.range(300).select(F.col("id").cast("string").alias("entity")), 0, 9)
