@@ -158,6 +158,60 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in again} == out
 
 
+def test_near_duplicates_lose_no_link(spark):
+    """Classes are those of all links: one key a text, so many links share none; texts of few words; all edits spread evenly."""
+    rnd = random.Random(22)
+    texts = [["a", "b"], ["a", "b "], ["b", "a"], *[[f"s{k}" for k in range(n)] for n in (4, 5, 6, 9, 10, 11)]]
+    for g in range(90):
+        words = [f"w{int(rnd.paretovariate(0.6)) % 900}" for _ in range(rnd.choice([5, 7, 10, 25, 60, 150]))]
+        for share in (0, 0.1, 0.16, 0.2):
+            at = set(rnd.sample(range(len(words)), int(share * len(words))))
+            own = [rnd.choice([[], ["x", w], [f"new{rnd.random()}"]]) if k in at else [w] for k, w in enumerate(words)]
+            texts.append([w for part in own for w in part])
+    texts = [" ".join(t).split() for t in texts]
+    root = list(range(len(texts)))
+    links = every_link(texts)
+    while any(root[i] != root[j] for i, j in links):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    few = [near_dup.sketch(np.array([near_dup.word_hash(w) for w in t], np.uint64), 1, 1)[0] for t in texts]
+    assert sum(few[i] != few[j] for i, j in links) >= 50
+    for sketches, take in ((1, 1), (10, 4)):
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs, sketches=sketches, take=take).collect()}
+        assert got == dict(enumerate(root))
+
+
+def test_near_duplicates_after_a_member_has_left_with_its_head(spark):
+    """Of three texts with one key, the second links to the head and the third only to the second."""
+    words = [f"w{k}" for k in range(60)]
+    for seed in range(200):
+        rnd = random.Random(seed)
+        at = rnd.sample(range(60), 20)
+        chain = [words, [f"x{seed}" if k in at[:10] else w for k, w in enumerate(words)], [f"x{seed}" if k in at else w for k, w in enumerate(words)]]
+        head = min(range(3), key=lambda k: hashlib.sha256(" ".join(chain[k]).encode()).digest())
+        key = {near_dup.sketch(np.array([near_dup.word_hash(w) for w in t], np.uint64), 1, 1)[0] for t in chain}
+        if head != 1 and len(key) == 1:
+            break
+    assert len(key) == 1 and head != 1 and len(every_link(chain)) == 2
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(chain)], "doc_id long, text string")
+    assert {r.class_id for r in near_dup.near_duplicates(docs, sketches=1, take=1).collect()} == {0}
+
+
+def test_texts_that_align_share_a_first_gram():
+    rnd = random.Random(23)
+    for case in range(3000):
+        similarity = rnd.choice([0.4, 0.6, 0.75, 0.8, 0.9])
+        a = [rnd.randint(0, 5 if case % 2 else 5000) for _ in range(rnd.randint(1, 60))]
+        b = [x if isinstance(x, int) else rnd.randint(0, 9) for x in edited(rnd, a, rnd.randint(0, 1 + len(a) // 3))]
+        p, q = (near_dup.mixed(np.array(x, np.uint64) + np.uint64(1)) for x in (a, b))
+        known = np.unique(near_dup.grams(np.concatenate([p, q])[::2], 2))
+        counts = np.array([rnd.randint(1, 9) for _ in known])
+        if len(q) and near_dup.edit_within(p, q, int(max(len(p), len(q)) * (1 - similarity) + 1e-9)):
+            first = [set(near_dup.first_grams(x, similarity, known, counts).tolist()) for x in (p, q)]
+            assert first[0] & first[1]
+
+
 def test_near_duplicates_ids_of_any_kind(spark):
     words = " ".join(f"w{k}" for k in range(40))
     rows = [("b", words, 1), ("a", words + " x", 2), ("a", words, 3), ("c", "other words only", 4), (None, words, 5), (None, "x y z", 6)]
