@@ -94,3 +94,11 @@ def test_pipeline_equals_plain(spark, tmp_path):
         ids = library.encode_ordinary(text)
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert got == want and len(want) > 60
+
+
+def test_near_stage_joins_texts_without_a_shared_run(spark):
+    """Every fifth word differs, so the texts are within the threshold but have no run of five words, and no sketch key, in common."""
+    words = [f"w{k}" for k in range(60)]
+    other = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "some other text")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == {1, 3}
