@@ -342,3 +342,29 @@ def test_warc_headers_of_any_length(width):
     data = b"".join(made)
     found = [(head["warc-target-uri"], body) for start in range(0, len(data), width) for head, body in warc.records_in(File(data), start, min(len(data), start + width))]
     assert found == [(u, b"" if k == 2 else b"body" * k) for k, u in enumerate(urls)]
+
+
+def test_least_common_grams_against_all_lengths():
+    for similarity in (0.3, 0.55, 0.6, 0.7, 0.8, 0.9):
+        size = near_dup.gram_size(similarity)
+        for n in range(1, 120):
+            plain = min(m + size - 1 - size * int(m * (1 - similarity) + 1e-9) for m in range(n, int(n / similarity) + 2))
+            assert near_dup.least_common(n, similarity)[0] <= max(plain, 1)
+            assert 1 <= near_dup.needed(n, similarity)[()].min() <= near_dup.least_common(n, similarity)[0]
+
+
+def test_members_of_a_cluster_meet_by_bags(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)  # several parts
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(40):
+        words = list(base)
+        for k in rng.choice(60, int(rng.integers(0, 12)), replace=False):
+            words[k] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(words)))
+    made = near_dup.sketched(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 1, 1)
+    members = made.selectExpr("id AS node", "n_words", "bag", "id % 5 AS root", "7L AS cluster")
+    got = [(r.a, r.b) for r in near_dup.inside(members, 0.8).collect()]
+    h = [np.array([near_dup.word_hash(w) for w in t.split()], np.uint64) for _, t in rows]
+    linked = {(i, j) for j in range(40) for i in range(j) if i % 5 != j % 5 and near_dup.edit_within(h[i], h[j], 12)}
+    assert linked <= set(got) and len(got) == len(set(got)) and all(i < j and i % 5 != j % 5 for i, j in got)
