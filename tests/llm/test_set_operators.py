@@ -368,3 +368,31 @@ def test_members_of_a_cluster_meet_by_bags(spark, monkeypatch):
     h = [np.array([near_dup.word_hash(w) for w in t.split()], np.uint64) for _, t in rows]
     linked = {(i, j) for j in range(40) for i in range(j) if i % 5 != j % 5 and near_dup.edit_within(h[i], h[j], 12)}
     assert linked <= set(got) and len(got) == len(set(got)) and all(i < j and i % 5 != j % 5 for i, j in got)
+
+
+def test_pairs_leave_a_bucket_with_their_part_of_the_grams_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HELD", 50)  # a few texts at a time
+    rnd, buckets, rows = random.Random(4), 4, []
+    passage = [f"p{k}" for k in range(12)]
+    for i in range(60):
+        base = rows[-1][1] if i % 3 else [f"w{rnd.randint(0, 10**6)}" for _ in range(100)] + passage
+        rows.append((i, [f"x{rnd.randint(0, 10**6)}" if k < 100 and i % 3 and rnd.random() < 0.08 else w for k, w in enumerate(base)]))
+    hashed = [np.array([near_dup.word_hash(w) for w in words], np.uint64) for _, words in rows]
+    none = near_dup.levels(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    first = [near_dup.first_grams(h, 0.8, None, none) for h in hashed]
+    tag = lambda i: i - i % 2  # noqa: E731  texts of one tag are not taken for each other
+    made = [(tag(i), near_dup.in_buckets(first[i - i % 2][0], buckets)) for i in range(60)] * 2
+    texts = spark.createDataFrame([(tag(i), i, len(rows[i][1]), i % 7) for i in range(60)], "tag long, node long, n_words long, root long")
+    posted = near_dup.postings(spark.createDataFrame(made, "tag long, grams binary"), buckets).unionByName(near_dup.told(texts, buckets))
+    got = [(r.a, r.b) for r in near_dup.meeting(posted, 0.8, buckets).collect()]
+
+    def parts(i):
+        x = first[i - i % 2][0] >> np.uint64(8)
+        return [{int(v) for v in x if (int(v) >> 32) % buckets == b} for b in range(buckets)]
+
+    own = [parts(i) for i in range(60)]
+    need = {(i, j): -(-min(first[i][1], first[j][1]) // buckets) for j in range(60) for i in range(j)}
+    plain = {(i, j) for (i, j), n in need.items() if i % 7 != j % 7 and any(len(p & q) >= n for p, q in zip(own[i], own[j]))}
+    assert sorted(got) == sorted(plain) and 40 < len(got) < 300  # the passage alone brings no two together
+    links = {(i, j) for j in range(0, 60, 2) for i in range(0, j, 2) if i % 7 != j % 7 and near_dup.edit_within(hashed[i], hashed[j], int(112 * 0.2 + 1e-9))}
+    assert links and links <= plain
