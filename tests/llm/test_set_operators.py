@@ -396,3 +396,13 @@ def test_pairs_leave_a_bucket_with_their_part_of_the_grams_only(spark, monkeypat
     assert sorted(got) == sorted(plain) and 40 < len(got) < 300  # the passage alone brings no two together
     links = {(i, j) for j in range(0, 60, 2) for i in range(0, j, 2) if i % 7 != j % 7 and near_dup.edit_within(hashed[i], hashed[j], int(112 * 0.2 + 1e-9))}
     assert links and links <= plain
+
+
+def test_texts_to_align_are_looked_up_either_way(spark, monkeypatch):
+    base = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(base[: 40 - i])) for i in range(4)] + [(9, "another text of no more than nine words")], "doc_id long, text string")
+    out = []
+    for most in (near_dup.CARRIED, 0):
+        monkeypatch.setattr(near_dup, "CARRIED", most)
+        out.append({r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()})
+    assert out[0] == out[1] == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
