@@ -99,8 +99,25 @@ def unmapped(entries: DataFrame, mapped: DataFrame, by: list[str]) -> DataFrame:
     return spans.subtract(entries, held, [*by, "pod"])
 
 
-def extract(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token: int | None = None, limits: Limits = Limits(), caps: Caps = Caps(), suppress: bool = True) -> Context:
-    """The context of the services (entity): one depends_on hop, and whom its pods shared a place with."""
+@dataclass
+class Seeds:
+    """What the places of a service's pods are looked for with: all of it grows with the log, not with pairs of pods."""
+
+    known: DataFrame
+    pieces: DataFrame
+    members: DataFrame
+    mapped: DataFrame
+    unattributed: DataFrame
+    useful: DataFrame
+    pods: DataFrame
+    cuts: list[tuple[DataFrame, str]]
+
+    def met(self, from_ns: int, to_ns: int, caps: Caps) -> coresidency.Answer:
+        return coresidency.find(self.known, self.pods.select(F.col("pod").alias("entity")), from_ns, to_ns, caps=caps, pieces=self.pieces)
+
+
+def seeds(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token: int | None = None, limits: Limits = Limits()) -> Seeds:
+    """The members of the services (entity), their instances, and the pods of these."""
     known = reads.visible(log, token)
     every = staged(ranges.edge_pieces(known, from_ns, to_ns), "pieces")
     sound = every.filter("not uncascaded")
@@ -118,9 +135,27 @@ def extract(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token
     time = spans.duration(spans.union_spans(useful.join(best, ["service", "pod", "rank", "member"], "left_semi").select("service", "pod", "start", "end"), ["service", "pod"]), ["service", "pod"])
     pods, cut_pods = _capped(best.join(time, ["service", "pod"]), limits.seed_pods, ["rank", F.desc("duration_ns"), *by_id("pod")], ["service"])
     pods = staged(pods.select("service", "pod", "member", "rank", "duration_ns", "place"), "seed-pods")
-    met = coresidency.find(known, pods.select(F.col("pod").alias("entity")), from_ns, to_ns, caps=caps, pieces=every)
+    return Seeds(known, every, who, mapped, unattributed, useful, pods, [(cut_members, "members"), (cut_instances, "instances"), (cut_pods, "seed_pods")])
+
+
+def extract(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token: int | None = None, limits: Limits = Limits(), caps: Caps = Caps(), suppress: bool = True) -> Context:
+    """The context of the services (entity): one depends_on hop, and whom its pods shared a place with."""
+    own = seeds(log, services, from_ns, to_ns, token, limits)
+    met = own.met(from_ns, to_ns, caps)
     overlaps = staged(met.overlaps, "overlaps")
-    return _context(who, pods, useful, mapped, unattributed, met, overlaps, limits, suppress, [(cut_members, "members"), (cut_instances, "instances"), (cut_pods, "seed_pods")])
+    return _context(own.members, own.pods, own.useful, own.mapped, own.unattributed, met, overlaps, limits, suppress, own.cuts)
+
+
+def unmapped_pods(log: DataFrame, services: DataFrame, from_ns: int, to_ns: int, token: int | None = None, limits: Limits = Limits(), caps: Caps = Caps()) -> DataFrame:
+    """The ``unmapped`` of a context, without the pairs of services, which grow with the pairs of a pod's instances."""
+    own = seeds(log, services, from_ns, to_ns, token, limits)
+    return _unmapped(own.met(from_ns, to_ns, caps).overlaps, own.pods, own.mapped)
+
+
+def _unmapped(overlaps: DataFrame, pods: DataFrame, mapped: DataFrame) -> DataFrame:
+    entries = overlaps.select(F.col("seed").alias("pod"), F.col("peer").alias("peer_pod"), "start", "end").join(pods.select("service", "pod"), "pod")
+    entries = spans.union_spans(entries.select("service", F.col("peer_pod").alias("pod"), "start", "end"), ["service", "pod"])
+    return unmapped(entries, mapped, ["service"])
 
 
 def _context(who, pods, useful, mapped, unattributed, met, overlaps, limits, suppress, cuts) -> Context:
@@ -153,12 +188,10 @@ def _context(who, pods, useful, mapped, unattributed, met, overlaps, limits, sup
     pairs = pairs.join(ranks, ["service", "member"], "left").join(of_peer, ["service", "peer"], "left")
     pairs = pairs.withColumn("_best", F.least("_rank", "_peer_rank")).withColumn("_kind", F.when(F.col("mechanism") == "shared_pod", 0).when(F.col("mechanism") == "shared_node", 1).otherwise(2))
     first, cut_pairs = _capped(pairs, limits.pairs, [F.desc("duration_ns"), "_kind", "_best", *by_id("peer"), *by_id("member")], ["service"])
-    entries = overlaps.select(F.col("seed").alias("pod"), F.col("peer").alias("peer_pod"), "start", "end").join(pods.select("service", "pod"), "pod")
-    entries = spans.union_spans(entries.select("service", F.col("peer_pod").alias("pod"), "start", "end"), ["service", "pod"])
     dropped = _dropped(cut_pairs, "pairs")
     for counts, what in cuts:
         dropped = dropped.unionByName(_dropped(counts, what))
-    return Context(who, pods, first.select(*PAIR, "duration_ns", "place"), vias, contributions, unmapped(entries, mapped, ["service"]), unattributed, common, dropped)
+    return Context(who, pods, first.select(*PAIR, "duration_ns", "place"), vias, contributions, _unmapped(overlaps, pods, mapped), unattributed, common, dropped)
 
 
 def anchored(log: DataFrame, service: str, host: str, t: int, from_ns: int, to_ns: int, token: int | None = None, caps: Caps = Caps()) -> tuple[str, DataFrame, Context | None]:
