@@ -406,3 +406,41 @@ def test_texts_to_align_are_looked_up_either_way(spark, monkeypatch):
         monkeypatch.setattr(near_dup, "CARRIED", most)
         out.append({r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()})
     assert out[0] == out[1] == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+
+
+def test_texts_just_too_far_apart_make_no_rows_of_pairs(spark, monkeypatch):
+    """Equal bags in different orders: bags leave every two open, and no alignment links them."""
+    rng, front = np.random.default_rng(3), [f"f{k}" for k in range(12)]
+    texts = [" ".join(front + [f"w{k}" for k in rng.permutation(40)]) for _ in range(60)]
+    texts.append(texts[7].replace("f3", "g3"))  # linked to one of them
+    rows = []
+    monkeypatch.setattr(near_dup, "staged", lambda df, label, staged=near_dup.staged: rows.append((label, (out := staged(df, label)).count())) or out)
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(60)} | {60: 7}
+    assert max(n for label, n in rows) < 60 * 59 // 4, rows
+
+
+def test_pairs_go_on_only_if_their_buckets_can_hold_all_they_need(spark):
+    rnd, buckets, rows = random.Random(6), 4, []
+    for i in range(40):
+        base = [w for w in rows[-1]] if i % 4 else [f"w{rnd.randint(0, 10**6)}" for _ in range(90)]
+        rows.append([f"x{rnd.randint(0, 10**6)}" if rnd.random() < (0.02, 0.08, 0.5)[i % 3] else w for w in base])
+    hashed = [np.array([near_dup.word_hash(w) for w in words], np.uint64) for words in rows]
+    none = near_dup.levels(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    first = [near_dup.first_grams(h, 0.8, None, none) for h in hashed]
+    made = spark.createDataFrame([(i, near_dup.in_buckets(first[i][0], buckets), len(rows[i]), i) for i in range(40)], "tag long, grams binary, n_words long, root long")
+    of_all = near_dup.postings(made.select("tag", "grams"), buckets).unionByName(near_dup.told(made.selectExpr("tag", "tag AS node", "n_words", "root"), buckets))
+    brought = near_dup.postings(made, buckets)  # a bucket is told of the texts that are in it only
+    met, own = ({(r.a, r.b) for r in near_dup.meeting(x, 0.8, buckets).collect()} for x in (of_all, brought))
+    kept = [{(r.a, r.b) for r in near_dup.enough(near_dup.shared(x, 0.8, buckets), buckets).collect()} for x in (of_all, brought)]
+    grams = [{int(v) >> 8 for v in f} for f, _ in first]
+    whole = {(i, j) for j in range(40) for i in range(j) if len(grams[i] & grams[j]) >= min(first[i][1], first[j][1])}
+    linked = {(i, j) for j in range(40) for i in range(j) if near_dup.edit_within(hashed[i], hashed[j], 18)}
+    assert met == own and kept[0] == kept[1] and linked and linked <= whole <= kept[0] < met
+
+
+def test_texts_are_looked_up_by_bits(spark):
+    rows = spark.range(3000).selectExpr("id", "unhex(sha2(cast(id AS string), 256)) AS digest")
+    needed = rows.filter("id % 7 = 0").select("digest")
+    got = {r.id for r in near_dup.among(rows, needed, needed.count()).collect()}
+    assert {i for i in range(0, 3000, 7)} <= got and len(got) < 429 + 2571 // 8  # one of 16 others, about
